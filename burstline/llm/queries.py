@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import fingerprint, packing, records, simhash, substring, tokens, urlfilter
+from burstline.llm import decontaminate, fingerprint, packing, records, simhash, substring, tokens, toxicity, urlfilter
 
 WINDOW = 13
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -26,6 +26,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +56,8 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_fingerprint": op5_fingerprint,
     "op6_substring": op6_substring,
     "op8_records": op8_records,
@@ -56,7 +67,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = "CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 
+_SHINGLES = r"""(SELECT DISTINCT {id}, s FROM (SELECT {id}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM (SELECT {id}, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table}) WHERE len(w) >= 5))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH q AS {_SHINGLES.format(id="item_id", table="benchmark")}, d AS {_SHINGLES.format(id="doc_id", table="documents")},
+        n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+        FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item""",
     "op6_substring": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s

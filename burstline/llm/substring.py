@@ -4,8 +4,7 @@ Lengths double up to the window: a window of n words is only looked at if window
 Level one takes windows of ceil(n / 2) words. Of those in any n-word window, the one of least hash stands for it, so equal
 n-word windows have equal stand-ins and only about a quarter of all positions are dealt out by hash. Stand-ins met in two
 documents survive and go back to their documents. Level two hashes the n-word windows around survivors, dealt
-out again; those that a document of smaller doc_id also has go back, and the words they cover are removed. Longer
-doublings are in `longest`, which goes on from repeated windows until none is left.
+out again; those that a document of smaller doc_id also has go back, and the words they cover are removed.
 
 Texts are dealt by doc_id once and every level reads that exchange again; only hashes and ids move after that.
 Exact copies are taken out first (all their windows are repeated), so large groups of copies cost nothing at any level.
@@ -70,7 +69,7 @@ def _level_one(window: int):
                         out.append(own)
                         owner.append(np.full(len(own), keys[i + k]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], names=["h", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], names=["h", "__k"])
 
     return run
 
@@ -106,67 +105,111 @@ def _level_two(window: int):
                         check.append(windows(own, window, 2)[at][one])
                         owner.append(np.full(len(pair), keys[i + k]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array((np.concatenate(check) >> np.uint64(33)).astype(np.int32)), pa.array(np.concatenate(owner))], names=["h", "c", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array((np.concatenate(check) >> np.uint64(33)).astype(np.int32)), pa.array(np.concatenate(owner))], names=["h", "c", "__k"])
 
     return run
 
 
-def _remove(window: int, with_text: bool):
+def _kept(hashes: np.ndarray, window: int, copy: bool, covered) -> np.ndarray:
+    """Which words of one text stay."""
+    n = len(hashes)
+    if n < window or not (copy or covered.is_valid):
+        return np.ones(n, bool)
+    if copy:
+        return np.zeros(n, bool)
+    hit = np.flatnonzero(np.isin(windows(hashes, window, 1).view(np.int64), covered.values.to_numpy()))
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + window, -1)
+    return np.cumsum(edge)[:n] == 0
+
+
+def _digest(window: int):
+    """From doc_id, text, __copy, __covered."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             size = batch.num_rows
             total, gone, digest = np.zeros(size, np.int64), np.zeros(size, np.int64), [""] * size
-            texts: list = [None] * size
             copies, covered = batch.column(2).to_pylist(), batch.column(3)
             for i, hashes, first, raw, starts, ends in _texts(batch.column(1)):
                 data = raw.tobytes()
                 for k in range(len(first) - 1):
                     a, b = int(first[k]), int(first[k + 1])
-                    n, own = b - a, covered[i + k]
-                    keep = np.ones(n, bool)
-                    if copies[i + k] and n >= window:
-                        keep[:] = False
-                    elif own.is_valid and n >= window:
-                        hit = np.flatnonzero(np.isin(windows(hashes[a:b], window, 1).view(np.int64), own.values.to_numpy()))
-                        edge = np.zeros(n + 1, np.int64)
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + window, -1)
-                        keep = np.cumsum(edge)[:n] == 0
-                    at = np.flatnonzero(keep) + a
+                    at = np.flatnonzero(_kept(hashes[a:b], window, copies[i + k], covered[i + k])) + a
                     kept = b" ".join([data[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-                    total[i + k], gone[i + k], digest[i + k] = n, n - len(at), hashlib.sha256(kept).hexdigest()
-                    if with_text:
-                        texts[i + k] = kept.decode("utf-8", "replace") if n != len(at) else None
+                    total[i + k], gone[i + k], digest[i + k] = b - a, b - a - len(at), hashlib.sha256(kept).hexdigest()
             columns = [batch.column(0), pa.array(total), pa.array(gone), pa.array(digest)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())] if with_text else columns, names=[*names, "kept_text"] if with_text else names)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _strip(window: int, text_at: int, chars_at: int | None):
+    """From the columns of documents, __copy, __covered: texts that lose words become their kept words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_columns
+            copies, covered = batch.column(n - 2).to_pylist(), batch.column(n - 1)
+            changed: dict[int, str] = {}
+            for i, hashes, first, raw, starts, ends in _texts(batch.column(text_at)):
+                for k in range(len(first) - 1):
+                    a, b = int(first[k]), int(first[k + 1])
+                    keep = _kept(hashes[a:b], window, copies[i + k], covered[i + k])
+                    if not keep.all():
+                        at = np.flatnonzero(keep) + a
+                        changed[i + k] = b" ".join([raw[x:y].tobytes() for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]).decode("utf-8", "replace")
+            columns, fields = batch.columns[:-2], [batch.schema.field(c) for c in range(n - 2)]
+            if changed:
+                texts = batch.column(text_at).to_pylist()
+                for i, text in changed.items():
+                    texts[i] = text
+                columns[text_at] = pa.array(texts, fields[text_at].type)
+                if chars_at is not None:
+                    counts = batch.column(chars_at).to_pylist()
+                    for i, text in changed.items():
+                        counts[i] = len(text)
+                    columns[chars_at] = pa.array(counts, fields[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row; with_text also its kept words where some were removed (else null)."""
+def _judged(docs: DataFrame, window: int) -> DataFrame:
+    """docs with __copy (a row of smaller doc_id has the same text) and __covered (hashes of windows that such a document has)."""
     n = partitions(docs.sparkSession)
-    rows = docs.select(order_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition(n, "k")
-    # Copies: all but the smallest doc_id of equal texts.
-    same = docs.select(order_key().alias("k"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("t"))
-    least = same.groupBy("t").agg(F.min("k").alias("m"))
-    copies = same.join(least, "t").where("k > m").select("k", F.col("t").alias("copy_of"))
-    copies = copies.distinct().groupBy("k").agg(F.collect_set("copy_of").alias("copies"))
-    own = F.sha2(F.coalesce("text", F.lit("")), 256)
-    marked = rows.join(copies.hint("shuffle_hash"), "k", "left").select("k", "doc_id", "text", F.coalesce(F.when(F.col("copies").isNotNull(), F.array_contains("copies", own)), F.lit(False)).alias("copy"))
-    first = marked.where("not copy").select("k", "text")
-
-    one = first.mapInArrow(_level_one(window), "h long, k long")
-    repeated = one.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("h")
-    alive = one.join(repeated, "h").groupBy("k").agg(F.collect_set("h").alias("alive"))
-
-    two = first.join(alive.hint("shuffle_hash"), "k").mapInArrow(_level_two(window), "h long, c int, k long")
-    least = two.groupBy("h", "c").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("h", "c", "a")
-    covered = two.join(least, ["h", "c"]).where("k > a").groupBy("k").agg(F.collect_set("h").alias("covered"))
-
-    done = marked.join(covered.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "copy", "covered")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return done.mapInArrow(_remove(window, with_text), schema + ", kept_text string" * with_text)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("*", order_key().alias("__k")).repartition(n, "__k")
+    same = docs.select(order_key().alias("__k"), F.sha2(text, 256).alias("__t"))
+    least = same.groupBy("__t").agg(F.min("__k").alias("__m"))
+    copies = same.join(least, "__t").where("__k > __m").groupBy("__k").agg(F.collect_set("__t").alias("__copies"))
+    copy = F.coalesce(F.when(F.col("__copies").isNotNull(), F.array_contains("__copies", F.sha2(text, 256))), F.lit(False))
+    marked = rows.join(copies.hint("shuffle_hash"), "__k", "left").withColumn("__copy", copy).drop("__copies")
+    first = marked.where("not __copy").select("__k", F.col("text").cast("string").alias("text"))
+
+    one = first.mapInArrow(_level_one(window), "h long, __k long")
+    repeated = one.groupBy("h").agg(F.min("__k").alias("a"), F.max("__k").alias("z")).where("a < z").select("h")
+    alive = one.join(repeated, "h").groupBy("__k").agg(F.collect_set("h").alias("alive"))
+
+    two = first.join(alive.hint("shuffle_hash"), "__k").mapInArrow(_level_two(window), "h long, c int, __k long")
+    least = two.groupBy("h", "c").agg(F.min("__k").alias("a"), F.max("__k").alias("z")).where("a < z").select("h", "c", "a")
+    covered = two.join(least, ["h", "c"]).where("__k > a").groupBy("__k").agg(F.collect_set("h").alias("__covered"))
+    return marked.join(covered.hint("shuffle_hash"), "__k", "left").drop("__k")
+
+
+def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _judged(rows, window).mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """docs in all its columns; a text that loses words becomes its kept words joined by spaces, and n_chars follows."""
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    judged = _judged(docs, window).select(*docs.columns, "__copy", "__covered")
+    return judged.mapInArrow(_strip(window, docs.columns.index("text"), chars), docs.schema)
