@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import decontaminate, fingerprint, packing, records, simhash, substring, tokens, toxicity, urlfilter
+from burstline.llm import decontaminate, fingerprint, packing, quality, records, simhash, substring, tokens, toxicity, urlfilter, warc
 
 WINDOW = 13
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -43,11 +43,23 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), WINDOW)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers come as text, in order of their names."""
+    found = warc.resolve(warc.captures(_table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select(F.floor(F.col("record_id") / 2).alias("page_id"), "url", "time", F.floor(F.col("source_id") / 2).alias("source_page_id"), "outcome", F.array_join(lines, "\n").alias("headers"))
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records.round_trip(_table(spark, sf_dir, "documents"), tokens.default_path())
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
@@ -60,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_fingerprint": op5_fingerprint,
     "op6_substring": op6_substring,
+    "op7_warc": op7_warc,
     "op8_records": op8_records,
+    "op9_quality": op9_quality,
     "op10_urlfilter": op10_urlfilter,
 }
 
@@ -89,6 +103,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_warc": r"""
+        WITH a AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS r, md5(coalesce(html, '')) AS d,
+                   length(coalesce(html, '')) AS size, 2 * page_id AS t, 2 * page_id + 1 + 2 * strpos('0123456789abcdef', md5(coalesce(url, ''))[1]) AS again FROM pages),
+        b AS (SELECT *, regexp_extract(r, '^[^/?]*') AS h FROM a),
+        c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(h), '^.*@', ''), ':(80|443)?$', ''), '^www\d*\.', '') AS host, substr(r, length(h) + 1) AS tail FROM b),
+        e AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(tail, '\?(.*)$', 1), '&'), lambda p: p <> ''
+                   AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|sid|sessionid|jsessionid|phpsessid)(=|$)'))) AS q FROM c),
+        f AS (SELECT page_id, d, size, t, again, host || regexp_replace(regexp_extract(tail, '^[^?]*'), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM e),
+        g AS (SELECT x.page_id, x.url, x.again, x.d, y.page_id AS source, y.d AS d2, y.size FROM f x ASOF LEFT JOIN f y ON x.url = y.url AND x.again > y.t)
+        SELECT page_id, url, CAST(again AS BIGINT) AS time, source AS source_page_id, CASE WHEN source IS NULL THEN 'missing' WHEN d = d2 THEN 'resolved' ELSE 'changed' END AS outcome,
+               CASE WHEN d = d2 THEN concat('cache-control: max-age=60', chr(10), 'content-length: ', size, chr(10), 'content-type: text/html', chr(10), 'date: ', again, chr(10), 'etag: ', d2) END AS headers FROM g""",
     "op10_urlfilter": f"""
         WITH r(host, path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
         u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
