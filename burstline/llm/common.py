@@ -36,10 +36,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/burstline/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use; without this they stay until the driver collects its garbage.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffles."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANED, "false")
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ n-word windows have equal stand-ins and only about a quarter of all positions ar
 documents survive and go back to their documents. Level two hashes the n-word windows around survivors, dealt
 out again; those that a document of smaller doc_id also has go back, and the words they cover are removed.
 
-Texts are dealt by doc_id once and every level reads that exchange again; only hashes and ids move after that.
+Each level deals texts by doc_id, to meet what the level before has left of them; hashes and ids are all else that moves.
 Exact copies are taken out first (all their windows are repeated), so large groups of copies cost nothing at any level.
 
 Defined cases: a null text has no words; texts shorter than the window lose nothing; rows of one doc_id count
@@ -23,35 +23,63 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.common import buffers, chunks, order_key, partitions, windows, word_hashes, words
+from burstline.llm.common import buffers, chunks, mix, order_key, partitions, windows, word_hashes, words, written
 
 
 def half(window: int) -> int:
     return (window + 1) // 2
 
 
-def stand_ins(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Half-length window hashes, and for each full window the position of its least one (the leftmost of equals)."""
-    short = windows(hashes, half(window))
-    span = window - half(window) + 1
-    m = len(hashes) - window + 1
-    if m <= 0:
-        return short, np.zeros(0, np.int64)
-    best, at = short[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, span):
-        less = short[j : j + m] < best
-        best[less] = short[j : j + m][less]
-        at[less] = j
-    return short, at + np.arange(m)
-
-
-def _texts(column):
-    """(number of the first text, word hashes, first words, bytes and spans) for runs of texts."""
+class _Chunk:
+    """Words of a run of texts, hashed, and the full windows that lie within one text."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int):
+        self.raw, self.window = raw, window
+        self.starts, self.ends, self.first = words(raw, offsets)
+        self.hashes = word_hashes(raw, self.starts, self.ends)
+        self.count = np.diff(self.first)
+        doc = np.repeat(np.arange(len(self.count)), self.count)
+        m = max(len(doc) - window + 1, 0)
+        self.at = np.flatnonzero(doc[:m] == doc[window - 1 : window - 1 + m])  # first words of full windows
+        self.doc = doc[self.at]
+
+    def stand_ins(self) -> np.ndarray:
+        """For each full window the hash of the half-length window in it that is least in its upper bits (the leftmost of equals)."""
+        short, span = windows(self.hashes, half(self.window)), self.window - half(self.window) + 1
+        m = len(self.hashes) - self.window + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        bits = np.uint64(max(1, (span - 1).bit_length()))
+        upper = (short >> bits) << bits
+        best = upper[:m].copy()
+        for j in range(1, span):
+            np.minimum(best, upper[j : j + m] | np.uint64(j), out=best)
+        best = best[self.at]
+        return short[self.at + (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+
+    def full(self, seed: int) -> np.ndarray:
+        return windows(self.hashes, self.window, seed)[self.at]
+
+    def own(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """A hash of (text, hash), to find what belongs to a text among all texts of the chunk."""
+        return mix(hashes ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+    def among(self, hashes: np.ndarray, lists, i: int) -> np.ndarray:
+        """Which windows' hashes are in the list (of a list array, from its place i) of their text."""
+        part = lists.slice(i, len(self.count))
+        n = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if not n.sum() or not len(hashes):
+            return np.zeros(len(hashes), bool)
+        there = np.sort(self.own(part.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)))
+        asked = self.own(hashes, self.doc)
+        place = np.minimum(np.searchsorted(there, asked), len(there) - 1)
+        return there[place] == asked
+
+
+def _chunks(column, window: int) -> Iterator[tuple[int, _Chunk]]:
     raw, offsets = buffers(column)
     for i, j in chunks(offsets):
-        part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        starts, ends, first = words(part, at)
-        yield i, word_hashes(part, starts, ends), first, part, starts, ends
+        yield i, _Chunk(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
 
 
 def _level_one(window: int):
@@ -60,68 +88,50 @@ def _level_one(window: int):
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, hashes, first, *_ in _texts(batch.column(1)):
-                out, owner = [], []
-                for k in range(len(first) - 1):
-                    short, at = stand_ins(hashes[first[k] : first[k + 1]], window)
-                    if len(at):
-                        own = np.unique(short[at])
-                        out.append(own)
-                        owner.append(np.full(len(own), keys[i + k]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], names=["h", "__k"])
+            for i, chunk in _chunks(batch.column(1), window):
+                h = chunk.stand_ins()
+                new = np.ones(len(h), bool)  # neighbours mostly share their stand-in
+                new[1:] = (h[1:] != h[:-1]) | (chunk.doc[1:] != chunk.doc[:-1])
+                h, doc = h[new], chunk.doc[new]
+                _, one = np.unique(chunk.own(h, doc), return_index=True)
+                one.sort()
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(keys[i + doc[one]], pa.int64())], names=["h", "__k"])
 
     return run
 
 
-def _candidates(hashes: np.ndarray, window: int, alive: np.ndarray) -> np.ndarray:
-    """Positions of full windows whose stand-in is in `alive` (sorted)."""
-    short, at = stand_ins(hashes, window)
-    if not len(at) or not len(alive):
-        return np.zeros(0, np.int64)
-    h = short[at]
-    place = np.minimum(np.searchsorted(alive, h), len(alive) - 1)
-    return np.flatnonzero(alive[place] == h)
-
-
-def _sorted(values) -> np.ndarray:
-    return np.sort(np.asarray(values if values is not None else [], np.int64).view(np.uint64))
-
-
 def _level_two(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keys, alive = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, hashes, first, *_ in _texts(batch.column(1)):
-                out, check, owner = [], [], []
-                for k in range(len(first) - 1):
-                    own = hashes[first[k] : first[k + 1]]
-                    at = _candidates(own, window, _sorted(alive[i + k].values.to_numpy() if alive[i + k].is_valid else None))
-                    if len(at):
-                        pair, one = np.unique(windows(own, window, 1)[at], return_index=True)
-                        out.append(pair)
-                        check.append(windows(own, window, 2)[at][one])
-                        owner.append(np.full(len(pair), keys[i + k]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array((np.concatenate(check) >> np.uint64(33)).astype(np.int32)), pa.array(np.concatenate(owner))], names=["h", "c", "__k"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, chunk in _chunks(batch.column(1), window):
+                alive = np.flatnonzero(chunk.among(chunk.stand_ins(), batch.column(2), i))
+                h, doc = chunk.full(1)[alive], chunk.doc[alive]
+                _, one = np.unique(chunk.own(h, doc), return_index=True)
+                one.sort()
+                check = (chunk.full(2)[alive][one] >> np.uint64(33)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(check), pa.array(keys[i + doc[one]], pa.int64())], names=["h", "c", "__k"])
 
     return run
 
 
-def _kept(hashes: np.ndarray, window: int, copy: bool, covered) -> np.ndarray:
-    """Which words of one text stay."""
-    n = len(hashes)
-    if n < window or not (copy or covered.is_valid):
-        return np.ones(n, bool)
-    if copy:
-        return np.zeros(n, bool)
-    hit = np.flatnonzero(np.isin(windows(hashes, window, 1).view(np.int64), covered.values.to_numpy()))
-    edge = np.zeros(n + 1, np.int64)
+def _kept(chunk: _Chunk, copies: np.ndarray, covered, i: int) -> np.ndarray:
+    """Which words of a chunk stay."""
+    hit = chunk.at[chunk.among(chunk.full(1), covered, i)]
+    edge = np.zeros(len(chunk.hashes) + chunk.window + 1, np.int64)
     np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + window, -1)
-    return np.cumsum(edge)[:n] == 0
+    np.add.at(edge, hit + chunk.window, -1)
+    keep = np.cumsum(edge)[: len(chunk.hashes)] == 0
+    return keep & ~np.repeat(copies[i : i + len(chunk.count)] & (chunk.count >= chunk.window), chunk.count)
+
+
+def _joined(chunk: _Chunk, data: bytes, keep: np.ndarray, a: int, b: int) -> bytes:
+    if keep[a:b].all():
+        return b" ".join(data[chunk.starts[a] : chunk.ends[b - 1]].split()) if b > a else b""
+    at = np.flatnonzero(keep[a:b]) + a
+    return b" ".join([data[x:y] for x, y in zip(chunk.starts[at].tolist(), chunk.ends[at].tolist(), strict=True)])
 
 
 def _digest(window: int):
@@ -133,14 +143,13 @@ def _digest(window: int):
         for batch in batches:
             size = batch.num_rows
             total, gone, digest = np.zeros(size, np.int64), np.zeros(size, np.int64), [""] * size
-            copies, covered = batch.column(2).to_pylist(), batch.column(3)
-            for i, hashes, first, raw, starts, ends in _texts(batch.column(1)):
-                data = raw.tobytes()
-                for k in range(len(first) - 1):
-                    a, b = int(first[k]), int(first[k + 1])
-                    at = np.flatnonzero(_kept(hashes[a:b], window, copies[i + k], covered[i + k])) + a
-                    kept = b" ".join([data[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-                    total[i + k], gone[i + k], digest[i + k] = b - a, b - a - len(at), hashlib.sha256(kept).hexdigest()
+            copies = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, chunk in _chunks(batch.column(1), window):
+                data, keep = chunk.raw.tobytes(), _kept(chunk, copies, batch.column(3), i)
+                left = np.append(0, np.cumsum(keep))
+                for k, (a, b) in enumerate(zip(chunk.first[:-1].tolist(), chunk.first[1:].tolist(), strict=True)):
+                    total[i + k], gone[i + k] = b - a, b - a - (left[b] - left[a])
+                    digest[i + k] = hashlib.sha256(_joined(chunk, data, keep, a, b)).hexdigest()
             columns = [batch.column(0), pa.array(total), pa.array(gone), pa.array(digest)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -155,51 +164,53 @@ def _strip(window: int, text_at: int, chars_at: int | None):
 
         for batch in batches:
             n = batch.num_columns
-            copies, covered = batch.column(n - 2).to_pylist(), batch.column(n - 1)
-            changed: dict[int, str] = {}
-            for i, hashes, first, raw, starts, ends in _texts(batch.column(text_at)):
-                for k in range(len(first) - 1):
-                    a, b = int(first[k]), int(first[k + 1])
-                    keep = _kept(hashes[a:b], window, copies[i + k], covered[i + k])
-                    if not keep.all():
-                        at = np.flatnonzero(keep) + a
-                        changed[i + k] = b" ".join([raw[x:y].tobytes() for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]).decode("utf-8", "replace")
+            copies, changed = batch.column(n - 2).to_numpy(zero_copy_only=False).astype(bool), {}
+            for i, chunk in _chunks(batch.column(text_at), window):
+                data, keep = chunk.raw.tobytes(), _kept(chunk, copies, batch.column(n - 1), i)
+                left = np.append(0, np.cumsum(keep))
+                lost = np.flatnonzero(np.diff(left[chunk.first]) < chunk.count)
+                for k in lost.tolist():
+                    changed[i + k] = _joined(chunk, data, keep, int(chunk.first[k]), int(chunk.first[k + 1])).decode("utf-8", "replace")
             columns, fields = batch.columns[:-2], [batch.schema.field(c) for c in range(n - 2)]
             if changed:
-                texts = batch.column(text_at).to_pylist()
-                for i, text in changed.items():
-                    texts[i] = text
-                columns[text_at] = pa.array(texts, fields[text_at].type)
-                if chars_at is not None:
-                    counts = batch.column(chars_at).to_pylist()
-                    for i, text in changed.items():
-                        counts[i] = len(text)
-                    columns[chars_at] = pa.array(counts, fields[chars_at].type)
+                for at, of in ((text_at, str), (chars_at, len)):
+                    if at is not None:
+                        values = batch.column(at).to_pylist()
+                        for i, text in changed.items():
+                            values[i] = of(text)
+                        columns[at] = pa.array(values, fields[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return run
 
 
 def _judged(docs: DataFrame, window: int) -> DataFrame:
-    """docs with __copy (a row of smaller doc_id has the same text) and __covered (hashes of windows that such a document has)."""
+    """docs with __copy (a row of smaller doc_id has the same text) and __covered (hashes of windows that such a document has).
+
+    What each level finds is written, so its exchanges are freed before the next level begins.
+    """
     n = partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("*", order_key().alias("__k")).repartition(n, "__k")
     same = docs.select(order_key().alias("__k"), F.sha2(text, 256).alias("__t"))
     least = same.groupBy("__t").agg(F.min("__k").alias("__m"))
-    copies = same.join(least, "__t").where("__k > __m").groupBy("__k").agg(F.collect_set("__t").alias("__copies"))
-    copy = F.coalesce(F.when(F.col("__copies").isNotNull(), F.array_contains("__copies", F.sha2(text, 256))), F.lit(False))
-    marked = rows.join(copies.hint("shuffle_hash"), "__k", "left").withColumn("__copy", copy).drop("__copies")
-    first = marked.where("not __copy").select("__k", F.col("text").cast("string").alias("text"))
+    copies = written(same.join(least, "__t").where("__k > __m").groupBy("__k").agg(F.collect_set("__t").alias("__copies")), "copies")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        copy = F.coalesce(F.when(F.col("__copies").isNotNull(), F.array_contains("__copies", F.sha2(text, 256))), F.lit(False))
+        dealt = rows.withColumn("__k", order_key()).repartition(n, "__k")
+        return dealt.join(copies.hint("shuffle_hash"), "__k", "left").withColumn("__copy", copy).drop("__copies")
+
+    def first() -> DataFrame:
+        return marked(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("not __copy").select("__k", "text")
 
-    one = first.mapInArrow(_level_one(window), "h long, __k long")
+    one = first().mapInArrow(_level_one(window), "h long, __k long")
     repeated = one.groupBy("h").agg(F.min("__k").alias("a"), F.max("__k").alias("z")).where("a < z").select("h")
-    alive = one.join(repeated, "h").groupBy("__k").agg(F.collect_set("h").alias("alive"))
+    alive = written(one.join(repeated, "h").groupBy("__k").agg(F.collect_list("h").alias("alive")), "alive")
 
-    two = first.join(alive.hint("shuffle_hash"), "__k").mapInArrow(_level_two(window), "h long, c int, __k long")
+    two = first().join(alive.hint("shuffle_hash"), "__k").mapInArrow(_level_two(window), "h long, c int, __k long")
     least = two.groupBy("h", "c").agg(F.min("__k").alias("a"), F.max("__k").alias("z")).where("a < z").select("h", "c", "a")
-    covered = two.join(least, ["h", "c"]).where("__k > a").groupBy("__k").agg(F.collect_set("h").alias("__covered"))
-    return marked.join(covered.hint("shuffle_hash"), "__k", "left").drop("__k")
+    covered = written(two.join(least, ["h", "c"]).where("__k > a").groupBy("__k").agg(F.collect_list("h").alias("__covered")), "covered")
+    return marked(docs).join(covered.hint("shuffle_hash"), "__k", "left").drop("__k")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
