@@ -139,7 +139,7 @@ def _stats(events: str, source: str, minimum: float) -> str:
 inside AS (SELECT e.session_id, e.event_number, s.sample_idx, s.t, s.z, s.speed FROM numbered e JOIN {source} s ON s.session_id = e.session_id AND s.sample_idx BETWEEN e.start_idx AND e.end_idx),
 lagged AS (SELECT *, lag(z) OVER ({k} ORDER BY sample_idx) AS pz, lag(t) OVER ({k} ORDER BY sample_idx) AS pt FROM inside),
 measured AS (SELECT session_id, event_number, min(t) AS start_time, max(t) AS end_time, max(t) - min(t) AS duration, avg(z) AS mean_zscore, quantile_cont(z, 0.5) AS median_zscore, max(z) AS max_zscore, min(z) AS min_zscore,
-    coalesce(sum((z + pz) / 2 * (t - pt)), 0) AS area, coalesce(sum((z * z + pz * pz) / 2 * (t - pt)), 0) AS total_energy, arg_min(speed, sample_idx) AS speed_at_start, arg_max(speed, sample_idx) AS speed_at_end,
+    coalesce(sum((z + pz) / 2 * (t - pt)), 0) AS area, coalesce(sum((z * z + pz * pz) / 2 * (t - pt)), 0) AS total_energy, arg_min_null(speed, sample_idx) AS speed_at_start, arg_max_null(speed, sample_idx) AS speed_at_end,
     max(speed) AS max_speed, min(speed) AS min_speed, quantile_cont(speed, 0.5) AS median_speed, avg(speed) AS mean_speed FROM lagged GROUP BY ALL),
 peaks AS (SELECT *, first_value(sample_idx) OVER ({k} ORDER BY z DESC, sample_idx) AS p FROM inside WHERE z IS NOT NULL),
 lows AS (SELECT *, sign(sample_idx - p) AS side, min(z) OVER (PARTITION BY session_id, event_number, sign(sample_idx - p) ORDER BY abs(sample_idx - p)) AS low FROM peaks),
