@@ -4,12 +4,12 @@ A paragraph is hashed into a wide vector, and a document's fingerprint is the su
 lane modulo a power of two. So order doesn't matter, and a paragraph is put in or taken out by adding or
 subtracting its vector. The vector of a paragraph has
   4 lanes modulo 2**56   independent hashes of the whole paragraph: equality
-  1 lane modulo 2**40    the number of its sentences
-  7 x 24 lanes modulo 2**20   each sentence in one lane, in level 0 for half of the sentences, 1 for a quarter, and so on: likeness
-The levels show how many sentences two documents don't share: in a level that is not full, the lanes that differ count them, and
-the likeness is 1 - (sentences in one but not the other) / (sentences of both), estimated so.
+  1 lane modulo 2**40    the number of its phrases
+  8 x 36 lanes modulo 2**20   each phrase in one lane, in level 0 for half of the phrases, 1 for a quarter, and so on: likeness
+The levels show how many phrases two documents don't share: in a level that is not full, the lanes that differ count them, and
+the likeness is 1 - (phrases in one but not the other) / (phrases of both), estimated so.
 
-A paragraph is a line; a sentence ends at a full stop, an exclamation or a question mark, or with its line. A fingerprint is an ARRAY<BIGINT>: the five lanes, then three lanes of
+A paragraph is a line; a phrase is up to eight words, and ends at a full stop, an exclamation or a question mark. A fingerprint is an ARRAY<BIGINT>: the five lanes, then three lanes of
 20 bits a number. Defined cases: a null or empty text is the zero vector; a repeated row or doc_id is followed by its next repetition, in the
 order of its text; a null doc_id comes last; a single document follows itself; other columns are ignored.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from burstline.llm.common import order_key, partitions, range_bucket
 
-LEVELS, WORDS, FIELD = 7, 8, 21
+LEVELS, WORDS, FIELD = 8, 12, 21
 LANES = 3 * WORDS
 _WIDE = (1 << 56) - 1
 _COUNT = (1 << 40) - 1
@@ -41,7 +41,7 @@ def _wide_lane(paragraphs, i: int):
 
 
 def _level(hashes, level: int):
-    """The lanes of one level: its sentences are those whose hash ends in `level` zero bits (the last level takes the rest)."""
+    """The lanes of one level: its phrases are those whose hash ends in `level` zero bits (the last level takes the rest)."""
     last = level == LEVELS - 1
     low, value = (1 << level if last else 2 << level) - 1, 0 if last else 1 << level
 
@@ -62,9 +62,9 @@ def fingerprint(text):
     """The fingerprint of a text column."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: p != "")
-    sentences = F.filter(F.split(text, r"[\n.!?]+"), lambda c: c != "")
+    phrases = F.regexp_extract_all(text, F.lit(r"(?:[^\s.!?]++[ \t]*+){1,8}+[.!?]*+"), F.lit(0))
     # Through a one-element array, so that the hashes are made once and not for each level.
-    levels = F.transform(F.array(F.transform(sentences, lambda c: F.xxhash64(c))), lambda h: F.concat(F.array(F.size(h).cast("long")), *(_level(h, i) for i in range(LEVELS))))[0]
+    levels = F.transform(F.array(F.transform(phrases, lambda c: F.xxhash64(c))), lambda h: F.concat(F.array(F.size(h).cast("long")), *(_level(h, i) for i in range(LEVELS))))[0]
     wide = F.transform(F.array(paragraphs), lambda p: F.array(*(_wide_lane(p, i) for i in range(4))))[0]
     return F.concat(wide, levels)
 
@@ -109,7 +109,7 @@ def as_text(fp):
 
 
 def likeness(a, b):
-    """0 to 1: the share of sentences that two documents have in common, from their fingerprints alone."""
+    """0 to 1: the share of phrases that two documents have in common, from their fingerprints alone."""
     estimates = []
     for level in range(LEVELS):
         first = 6 + level * WORDS

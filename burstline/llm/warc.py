@@ -9,7 +9,7 @@ only validators and headers are dealt out, never payloads.
 
 Records: record_id long, url string, time long, kind string ("response" or "revisit"), etag string, last_modified string, digest string,
 headers map<string,string>. Defined cases: a response at the same time is not earlier; of responses of one time the largest record_id counts;
-a null time is before all others; a null URL resolves to nothing; header names are compared and returned in
+a null time is before all others; a null URL resolves to nothing; records of other kinds are left out; header names are compared and returned in
 lower case (of names equal but for case, the first in order stays); repeated revisits each get a row; empty tables give no rows; other columns are ignored.
 """
 
@@ -55,7 +55,7 @@ def resolve(records: DataFrame) -> DataFrame:
     """A row for each revisit: record_id, url (canonical), time, source_id (the response; null if there is none), outcome
     ("resolved"; "unverified" without a common validator; "changed" if one differs; "missing"), headers (merged; null unless resolved or unverified)."""
     spark = records.sparkSession
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("time"), F.lit(-(2**63))).alias("time"), F.col("time").alias("told"), (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers").where("full is not null")
+    rows = records.where("kind in ('response', 'revisit')").select("record_id", canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("time"), F.lit(-(2**63))).alias("time"), F.col("time").alias("told"), (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers")
     n = 4 * partitions(spark)
     cuts = rows.agg(F.percentile_approx("time", [i / n for i in range(1, n)], F.lit(10_000))).first()[0] or []
     own = F.struct("record_id", "etag", "last_modified", "digest", "headers")

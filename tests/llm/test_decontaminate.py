@@ -1,6 +1,5 @@
 import re
 
-from conftest import rows  # noqa: F401
 from helpers import odd_texts, rng, table, words
 
 from burstline.llm import decontaminate

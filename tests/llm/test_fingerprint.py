@@ -1,6 +1,5 @@
 import hashlib
 
-from conftest import rows  # noqa: F401
 from helpers import odd_texts, rng, table, words
 from pyspark.sql import functions as F
 

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 import xxhash
-from conftest import rows  # noqa: F401
 from helpers import odd_texts, rng, table, words
 
 from burstline.llm import simhash
