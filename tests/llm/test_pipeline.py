@@ -9,7 +9,7 @@ def folder(spark, tmp_path):
     item = " ".join(words(draw, 30))
     passage = " ".join(words(draw, 60))
     texts = odd_texts(draw) + [(100 + i, " ".join(words(draw, 120))) for i in range(120)]
-    texts += [(300, texts[-1][1]), (301, texts[-2][1] + " changed"), (302, " ".join([*words(draw, 90), passage])), (303, " ".join([passage, *words(draw, 90)]))]
+    texts += [(300, texts[-1][1]), (301, texts[-2][1].upper().replace(" ", "\n ")), (302, " ".join([*words(draw, 90), passage])), (303, " ".join([passage, *words(draw, 90)]))]
     texts += [(310, " ".join([*words(draw, 50), item])), *[(400 + i, " ".join([*words(draw, 40), "you idiot", "you stupid trash", "moron"])) for i in range(60)]]
     table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
