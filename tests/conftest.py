@@ -19,8 +19,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as sorted tuples, for frames without an order."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

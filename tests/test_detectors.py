@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows
+from tools import rows
 from pyspark.sql import functions as F
 
 from burstline.functions import kernels

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows
+from tools import rows
 
 from burstline.operators import segments as seg
 

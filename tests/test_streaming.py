@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import rows
+from tools import rows
 from pyspark.sql import functions as F
 
 from burstline.streaming import live
