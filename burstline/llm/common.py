@@ -62,6 +62,16 @@ _PUNCT[:0x80] = True
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
     _PUNCT[_a:_b] = False
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with capitals of ASCII and Latin-1 made small."""
+    low = raw.copy()
+    low[(raw >= 0x41) & (raw <= 0x5A)] |= 0x20
+    second = np.flatnonzero(raw == 0xC3) + 1
+    second = second[second < len(raw)]
+    low[second[(raw[second] >= 0x80) & (raw[second] <= 0x9E) & (raw[second] != 0x97)]] += 0x20
+    return low
+
+
 _BLOCK = 1 << 21  # bytes hashed at a time, so that memory stays bounded for any text
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 

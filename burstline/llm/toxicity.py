@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstline.llm.common import buffers, chunks, lowered, word_hashes, words
 from burstline.llm.models import BoostedTrees, held_out, isotonic, labelled_sample, sigmoid
 
 # Insults, and second-person words of four languages.
@@ -26,64 +27,100 @@ psycho rat retard scum scumbag shit shut slut stupid sucker swine trash ugly use
 arschloch dumm dreck hure idioten scheisse trottel connard conne con merde salope imbécile cabrón estúpido gilipollas idiota mierda puta""".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú usted ustedes vosotros".split()
 
-_WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|+]+[^\W\d_]+)+|[0-9@$]+[^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$]+(?![^\s])")
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?!\S)")
-_RUNS = re.compile(r"(.)\1{2,}")
-_FOLD = str.maketrans("01345789@$!|+", "oleastbgasilt")
-_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_DIGITS, _SYMBOLS = bytes(range(48, 58)), b"@#$%^&*~|<>=+_"
-_ENDS = b".,;:'\"()-"
+_FOLD = bytes.maketrans(b"01345789@$!|+", b"oleastbgasilt")
+_MASKS = np.zeros(256, bool)
+_MASKS[[*b"0123456789@$*!|+#"]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_CLASSES = [np.isin(np.arange(256), [*c]) for c in (range(65, 91), range(97, 123), b"!", b"?", b"@#$%^&*~|<>=+_", b".,;:'\"()-0123456789")]
 FEATURES = 20
 
 
-def features(text: bytes, lexicon: dict[str, float]) -> list[float]:
-    said = text.decode("utf-8", "replace")
-    low = said.lower()
-    tokens = _WORD.findall(low)
-    n, size = len(tokens), len(text)
-    hits = [i for i, w in enumerate(tokens) if w in lexicon]
-    weights = [lexicon[tokens[i]] for i in hits]
-    near = close = 0.0
-    if hits:
-        second = [i for i, w in enumerate(tokens) if w in _SECOND]
-        if second:
-            gaps = np.abs(np.asarray(hits)[:, None] - np.asarray(second)[None, :]).min(axis=1) if len(hits) * len(second) < 1 << 20 else _gaps(hits, second)
-            near, close = float((gaps <= 5).sum()), 1 / (1 + float(gaps.min()))
-        seconds = len(second)
-    else:
-        seconds = 0
-    masked = 0
-    found = [w for w in _MASKED.findall(low)] + [re.sub(r"[ .\-_*]", "", w) for w in _SPACED.findall(low)]
-    for w in found:
-        masked += w.translate(_FOLD) in lexicon or re.sub(r"[^\w]", "", w) in lexicon
-    stretched = 0
-    for w in tokens:
-        if len(w) > 5 and _RUNS.search(w):
-            stretched += 1
-            masked += _RUNS.sub(r"\1", w) in lexicon
-    most = 0
-    if hits:
-        at = np.asarray(hits)
-        most = int((np.searchsorted(at, at + 20) - np.arange(len(at))).max())
-    lost = lambda c: size - len(text.translate(None, c))
-    upper, lower = lost(_UPPER), lost(_LOWER)
-    every, base = max(n, 1), max(size, 1)
-    caps = sum(1 for w in said.split() if len(w) > 2 and w.isupper())
-    return [
-        np.log1p(n), len(hits) / every, np.log1p(len(hits)), len({tokens[i] for i in hits}), sum(weights) / every, max(weights, default=0.0), most,
-        near, close, seconds / every, np.log1p(masked), masked / every, len(found) / every, stretched / every,
-        upper / max(upper + lower, 1), caps / every, text.count(b"!") / base, text.count(b"?") / base, lost(_SYMBOLS) / base, (lost(_ENDS) + lost(_DIGITS)) / base,
-    ]
-
-
-_SECOND = frozenset(SECOND)
-
-
-def _gaps(hits: list[int], second: list[int]) -> np.ndarray:
-    at = np.searchsorted(second, hits)
-    left, right = np.asarray([-(1 << 40), *second]), np.asarray([*second, 1 << 40])
-    return np.minimum(np.asarray(hits) - left[at], right[at] - np.asarray(hits))
+class Lexicon:
+    """Weighted words, looked up by hash for all words of many texts at once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = {w.encode(): v for w, v in weights.items()}
+        self.hashes, self.values = _hashed([*self.weights], [*self.weights.values()])
+        self.second, _ = _hashed([w.encode() for w in SECOND], [1.0] * len(SECOND))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of lexicon words among hashes, and which words they are."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        return hit, at[hit]
+
+    def is_masked(self, word: bytes) -> bool:
+        """Whether a word is in the lexicon once look-alike marks are letters, or marks are left out, or repeated letters single."""
+        bare = word.translate(None, b"0123456789@$*!|+#.,;:_-'\"()?")
+        return any(re.sub(rb"(.)\1+", rb"\1", w) in self.weights or w in self.weights for w in (word.translate(_FOLD, b"*#.,;:_-'\"()?"), bare))
+
+
+def _hashed(words: list[bytes], values: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(w) for w in words])
+    hashes = word_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+    order = np.argsort(hashes)
+    return hashes[order], np.asarray(values)[order]
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """Measurements of each text, a row each."""
+    texts = len(offsets) - 1
+    low = lowered(raw)
+    letter = _LETTERS[raw]
+    starts, ends, first = words(low, offsets, ~_LETTERS)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(texts), n)
+    hashes = word_hashes(low, starts, ends)
+    per = lambda d, w=None: np.bincount(d, w, texts).astype(float)
+    every, size = np.maximum(n, 1), np.maximum(np.diff(offsets), 1)
+    x = np.zeros((texts, FEATURES))
+    x[:, 0] = np.log1p(n)
+    hit, word = lexicon.find(hashes)
+    of, weight = doc[hit], lexicon.values[word]
+    hits = per(of)
+    x[:, 1], x[:, 2], x[:, 4] = hits / every, np.log1p(hits), per(of, weight) / every
+    x[:, 3] = per(np.unique(of * len(lexicon.values) + word) // len(lexicon.values))
+    np.maximum.at(x[:, 5], of, weight)
+    # Places of words, with a gap between texts so that no two texts' words are near each other.
+    place = np.arange(len(starts)) + 1000 * doc
+    at = place[hit]
+    np.maximum.at(x[:, 6], of, np.searchsorted(at, at + 20) - np.arange(len(at)))
+    know = np.minimum(np.searchsorted(lexicon.second, hashes), len(lexicon.second) - 1)
+    second = np.flatnonzero(lexicon.second[know] == hashes)
+    x[:, 9] = per(doc[second]) / every
+    beside = np.concatenate([[-(1 << 40)], place[second], [1 << 40]])
+    i = np.searchsorted(place[second], at)
+    gap = np.minimum(at - beside[i], beside[i + 1] - at)
+    x[:, 7] = per(of[gap <= 5])
+    np.maximum.at(x[:, 8], of, np.where(gap < 1000, 1 / (1 + gap), 0))
+    # Obfuscation: marks inside words, letters spaced out, letters drawn out. Such words are few and looked at one by one.
+    odd: list[tuple[int, bytes]] = []
+    inner = np.flatnonzero(_MASKS[raw[:-1]] & letter[1:]) if len(raw) else np.zeros(0, np.int64)
+    if len(inner):
+        s, e, f = words(raw, offsets)
+        k = np.searchsorted(s, inner, side="right") - 1
+        k = np.unique(k[inner < e[np.maximum(k, 0)] - 1])
+        odd += zip((np.searchsorted(f, k, side="right") - 1).tolist(), [low[a:b].tobytes() for a, b in zip(s[k].tolist(), e[k].tolist(), strict=True)], strict=True)
+    single = ends - starts == 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+    for a, b in edge.reshape(-1, 2).tolist():
+        if b - a >= 4 and b - a < 40 and doc[a] == doc[b - 1] and ends[b - 1] - starts[a] <= 2 * (b - a):
+            odd.append((int(doc[a]), low[starts[a:b]].tobytes()))
+    drawn = np.flatnonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & letter[2:]) if len(raw) > 2 else np.zeros(0, np.int64)
+    k = np.unique(np.searchsorted(starts, drawn, side="right") - 1)
+    k = k[k >= 0]
+    x[:, 13] = per(doc[k]) / every
+    odd += zip(doc[k].tolist(), [low[a:b].tobytes() for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], strict=True)
+    x[:, 12] = per(np.asarray([d for d, _ in odd], np.int64)) / every
+    masked = per(np.asarray([d for d, w in odd if lexicon.is_masked(w)], np.int64))
+    x[:, 10], x[:, 11] = np.log1p(masked), masked / every
+    upper, lower, shouts, asks, symbols, rest = (np.diff(np.searchsorted(np.flatnonzero(c[raw]), offsets)) for c in _CLASSES)
+    capital = _CLASSES[0][raw]
+    runs = np.flatnonzero(capital[2:] & capital[1:-1] & capital[:-2]) if len(raw) > 2 else np.zeros(0, np.int64)
+    x[:, 14], x[:, 15] = upper / np.maximum(upper + lower, 1), np.diff(np.searchsorted(runs, offsets)) / size
+    x[:, 16], x[:, 17], x[:, 18], x[:, 19] = shouts / size, asks / size, symbols / size, rest / size
+    return x
 
 
 def learned_lexicon(sample: DataFrame, most: int = 200) -> dict[str, float]:
@@ -101,10 +138,10 @@ def learned_lexicon(sample: DataFrame, most: int = 200) -> dict[str, float]:
 
 
 class Model:
-    """score(list of UTF-8 texts) -> probabilities."""
+    """score(bytes, offsets) -> a probability for each text."""
 
     def __init__(self, lexicon: dict[str, float], share: float):
-        self.lexicon, self.share, self.trees = lexicon, share, None
+        self.lexicon, self.share, self.trees = Lexicon(lexicon), share, None
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
         order = np.random.default_rng(seed).permutation(len(y))
@@ -115,13 +152,15 @@ class Model:
             self.knots = isotonic(self.trees.margin(x[calibrate]), y[calibrate])
         return self
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(texts), self.share)
-        x = np.asarray([features(t, self.lexicon) for t in texts]).reshape(len(texts), FEATURES)
-        margin = self.trees.margin(x)
-        # A little of the trees' own probability keeps the order within a pool.
-        return 0.998 * np.interp(margin, *self.knots) + 0.002 * sigmoid(margin)
+            return np.full(len(offsets) - 1, self.share)
+        out = [np.zeros(0)]
+        for i, j in chunks(offsets):
+            margin = self.trees.margin(features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.lexicon))
+            # A little of the trees' own probability keeps the order within a pool.
+            out.append(0.998 * np.interp(margin, *self.knots) + 0.002 * sigmoid(margin))
+        return np.concatenate(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
@@ -129,13 +168,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     sample = labelled_sample(docs, labels, "toxic", most)
     half = F.pmod(F.xxhash64(F.concat(F.lit("lexicon"), F.col("doc_id").cast("string"))), F.lit(2))
     lexicon = learned_lexicon(sample.where(half == 0))
+    model_lexicon = Lexicon(lexicon)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(t, lexicon) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+            raw, offsets = buffers(batch.column(0))
+            for i, j in chunks(offsets):
+                rows = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model_lexicon)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     # At most `most` short rows come to the driver.
     rows = sample.where(half == 1).select("text", "y", "doc_id").sort("doc_id").select("text", "y").mapInArrow(measure, "y int, x array<double>").toPandas()
@@ -151,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            scores = model.score(batch.column(2).cast(pa.binary()).to_pylist())
+            scores = model.score(*buffers(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -165,8 +207,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = ["".encode() if t is None else t for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([batch.schema.field(c) for c in range(batch.num_columns - 1)]))
-            yield rest.filter(pa.array(model.score(texts) < limit))
+            yield rest.filter(pa.array(model.score(*buffers(batch.column(batch.num_columns - 1))) < limit))
 
     return docs.select("*", F.col("text").cast("string").alias("__judged")).mapInArrow(run, docs.schema)
