@@ -72,7 +72,7 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return low
 
 
-_BLOCK = 1 << 21  # bytes hashed at a time, so that memory stays bounded for any text
+_BLOCK = 1 << 19  # bytes hashed at a time, so that memory stays bounded for any text
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +144,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         low = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, side="right")))
         high = int(ends[j - 1])
-        if high - low > _BLOCK:  # one word of over 2 MB
+        if high - low > _BLOCK:  # one word of over half a MB
             import xxhash
 
             out[i] = xxhash.xxh64_intdigest(raw[low:high].tobytes())
@@ -169,7 +169,7 @@ def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def chunks(offsets: np.ndarray, limit: int = 4 << 20):
+def chunks(offsets: np.ndarray, limit: int = 1 << 20):
     """Runs of documents [i, j) of about `limit` bytes together, one document at least."""
     i, n = 0, len(offsets) - 1
     while i < n:

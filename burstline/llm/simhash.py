@@ -61,8 +61,7 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
-            data, at = raw.tobytes(), at.tolist()
-            fp = np.fromiter([simhash(data[a:b], n, seed) for a, b in zip(at, at[1:])], np.uint64, len(at) - 1)  # noqa: B905
+            fp = np.fromiter((simhash(raw[a:b].tobytes(), n, seed) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint64, len(at) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
