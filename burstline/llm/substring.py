@@ -4,7 +4,8 @@ Lengths double up to the window: a window of n words is only looked at if window
 Level one takes windows of ceil(n / 2) words. Of those in any n-word window, the one of least hash stands for it, so equal
 n-word windows have equal stand-ins and only about a quarter of all positions are dealt out by hash. Stand-ins met in two
 documents survive and go back to their documents. Level two hashes the n-word windows around survivors, dealt
-out again; those that a document of smaller doc_id also has go back, and the words they cover are removed.
+out again; those that a document of smaller doc_id also has go back, and the words they cover are removed. longest_repeats()
+goes on doubling from there until no window is left.
 
 Each level deals texts by doc_id, to meet what the level before has left of them; hashes and ids are all else that moves.
 Exact copies are taken out first (all their windows are repeated), so large groups of copies cost nothing at any level.
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.common import buffers, chunks, mix, order_key, partitions, windows, word_hashes, words, written
+from burstline.llm.common import LAST_ID, buffers, chunks, mix, order_key, partitions, windows, word_hashes, words, written
 
 
 def half(window: int) -> int:
@@ -117,6 +118,23 @@ def _level_two(window: int):
     return run
 
 
+def _places(window: int):
+    """Hash and first word of each full window around surviving stand-ins."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, chunk in _chunks(batch.column(1), window):
+                alive = np.flatnonzero(chunk.among(chunk.stand_ins(), batch.column(2), i))
+                doc = chunk.doc[alive]
+                columns = [chunk.full(1)[alive].view(np.int64), chunk.at[alive] - chunk.first[doc], keys[i + doc]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "at", "__k"])
+
+    return run
+
+
 def _kept(chunk: _Chunk, copies: np.ndarray, covered, i: int) -> np.ndarray:
     """Which words of a chunk stay."""
     hit = chunk.at[chunk.among(chunk.full(1), covered, i)]
@@ -224,3 +242,34 @@ def strip_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     judged = _judged(docs, window).select(*docs.columns, "__copy", "__covered")
     return judged.mapInArrow(_strip(window, docs.columns.index("text"), chars), docs.schema)
+
+
+def longest_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id and longest of every document that shares a window with another: the greatest of window, twice it, four times
+    it and so on at which it still shares one.
+
+    Windows repeated at one length alone are extended: two of them end to end name a window of twice the length, and
+    such names met in two documents are the next level, until none is. Texts are read for the first level only. Rows of one doc_id
+    should be one text; null doc_ids count as one document.
+    """
+    rows = docs.select(order_key().alias("__k"), F.col("text").cast("string").alias("text"))
+    one = rows.mapInArrow(_level_one(window), "h long, __k long")
+    dealt = rows.repartition(partitions(docs.sparkSession), "__k")
+    alive = written(_shared(one).groupBy("__k").agg(F.collect_list("h").alias("alive")), "alive")
+    level = written(_shared(dealt.join(alive.hint("shuffle_hash"), "__k").mapInArrow(_places(window), "h long, at long, __k long")), "level")
+    length, found = window, level.select("__k", F.lit(window).alias("n"))
+    while True:
+        after = level.select("__k", (F.col("at") - length).alias("at"), F.col("h").alias("next"))
+        level = written(_shared(level.join(after, ["__k", "at"]).select(F.xxhash64("h", "next").alias("h"), "at", "__k")), "level")
+        if level.isEmpty():
+            break
+        length *= 2
+        found = found.unionByName(level.select("__k", F.lit(length).alias("n")))
+    longest = found.groupBy("__k").agg(F.max("n").cast("long").alias("longest"))
+    return longest.select(F.when(F.col("__k") != LAST_ID, F.col("__k")).alias("doc_id"), "longest")
+
+
+def _shared(names: DataFrame) -> DataFrame:
+    """Rows whose name is met in two documents."""
+    both = names.groupBy("h").agg(F.min("__k").alias("a"), F.max("__k").alias("z")).where("a < z").select("h")
+    return names.join(both, "h")

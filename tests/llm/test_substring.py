@@ -55,3 +55,23 @@ def test_stripped_documents(spark):
     want = [(i, kept if gone else t, None if t is None and not gone else len(kept if gone else t)) for (i, t), (_, _, gone, _, kept) in zip(texts, slow(texts), strict=True)]
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr) == sorted(want, key=repr)
     assert substring.strip_repeats(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("window", [3, 13])
+def test_doubled_until_none_is_left(spark, window):
+    texts = [(i, t) for i, t in dict(made(4)).items()]
+    cut = {i: WORD.findall(t) for i, t in texts}
+    want, n = {}, window
+    while True:
+        seen = {}
+        for i, w in cut.items():
+            for a in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[a : a + n]), set()).add(i)
+        hit = {i for own in seen.values() if len(own) > 1 for i in own}
+        if not hit:
+            break
+        want |= dict.fromkeys(hit, n)
+        n *= 2
+    got = {r.doc_id: r.longest for r in substring.longest_repeats(table(spark, texts), window).collect()}
+    assert got == want and len(set(want.values())) > 1
+    assert substring.longest_repeats(table(spark, [])).count() == 0
