@@ -39,20 +39,17 @@ def normalize(
     single trace) or a divisor of one (baseline or MAD by channel). checked=True raises ValueError where a group's baseline is empty (a job of its own).
     """
     check_arguments(method, mask, time_range, "t" in df.columns)
+    df = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))
     rows = baseline(mask, time_range)
     pick = F.col(value) if rows is None else F.when(rows, F.col(value))
-    groups = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value), *([c for c in ("t",) if c in df.columns and c not in (value, *keys)]), *([mask] if isinstance(mask, str) and mask not in (value, "t", *keys) else []))
-    if checked and rows is not None:
-        empty = df.groupBy(*keys).agg(F.count_if(rows).alias("n")).where("n = 0").limit(1).count()
-        if empty:
-            raise ValueError("the normalization range or mask picks no samples")
+    if checked and rows is not None and not df.groupBy(*keys).agg(F.count_if(rows).alias("n")).where("n = 0").isEmpty():
+        raise ValueError("the normalization range or mask picks no samples")
     if method == "zscore":
-        stats = (groups if not isinstance(mask, Column) else df).groupBy(*keys).agg(F.avg(pick).alias("__centre"), F.stddev_pop(pick).alias("__spread"), (F.min(pick) == F.max(pick)).alias("__flat"))
+        stats = df.groupBy(*keys).agg(F.avg(pick).alias("__centre"), F.stddev_pop(pick).alias("__spread"), (F.min(pick) == F.max(pick)).alias("__flat"))
     else:
-        source = groups if not isinstance(mask, Column) else df
-        medians = source.groupBy(*keys).agg(F.percentile(pick, F.lit(0.5)).alias("__centre"))
-        apart = source.join(medians, list(keys))
-        stats = apart.groupBy(*keys).agg(F.first("__centre").alias("__centre"), (F.percentile(F.abs(pick - F.col("__centre")), F.lit(0.5)) * F.lit(MAD_TO_SD)).alias("__spread"))
+        medians = df.groupBy(*keys).agg(F.percentile(pick, F.lit(0.5)).alias("__centre"))
+        spread = F.percentile(F.abs(pick - F.col("__centre")), F.lit(0.5)) * F.lit(MAD_TO_SD)
+        stats = df.join(medians, list(keys)).groupBy(*keys).agg(F.first("__centre").alias("__centre"), spread.alias("__spread"))
         stats = stats.withColumn("__flat", F.col("__spread") == 0)
     flat = F.coalesce("__flat", F.lit(True)) | (F.col("__spread") == 0)
     score = (F.col(value) - F.col("__centre")) / F.when(flat, None).otherwise(F.col("__spread"))

@@ -45,7 +45,7 @@ def sweep(scored: DataFrame, thresholds: list[float], minimum_duration: float =
     """
     spark = scored.sparkSession
     levels = spark.createDataFrame([(float(x),) for x in thresholds], "threshold double")
-    each = scored.crossJoin(F.broadcast(levels))  # a handful of thresholds
+    each = scored.withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in thresholds))))
     found = seg.extend_to_mean(each, F.col("z") >= 0, F.col("z") >= F.col("threshold"), minimum_duration, keys=("session_id", "threshold"))
     counts = found.groupBy("threshold").agg(F.count("*").alias("n_events"))
     return levels.join(counts, "threshold", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long"))
