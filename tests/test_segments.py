@@ -68,7 +68,7 @@ def test_merge_against_a_loop_and_by_session(spark):
 
 
 def test_threshold_literal(spark):
-    x = np.array([0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 3, 3, 3, 2, 1, 0, 0.0])
+    x = np.array([0.0] * 2 + [10] * 2 + [0] * 3 + [1, 5] + [10] * 5 + [5, 1, 0])
     z = (x - x.mean()) / x.std()
     df = spark.createDataFrame([("a", i, i / 1000, float(v)) for i, v in enumerate(z)], "session_id string, sample_idx long, t double, z double")
     assert rows(seg.threshold(df, "z", 0.004, 1.0).select("start_time", "end_time")) == [(0.008, 0.014)]
