@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burstline.llm import decontaminate, packing, simhash, substring, tokens, toxicity
+from burstline.llm import decontaminate, packing, shingles, substring, tokens, toxicity
 from burstline.llm.common import written
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group."""
-    return simhash.keep_one(docs)
+    """The document of smallest doc_id of each group, linked by similarity 0.8 or more of five-word shingles."""
+    return shingles.keep_one(docs)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
