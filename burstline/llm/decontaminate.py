@@ -1,10 +1,15 @@
 """Benchmark decontamination: containment search by size-partitioned MinHash, verified by exact shingles.
 
-Items fall into classes by their number of distinct shingles, in powers of two. For a class of up to u shingles, a document's
+Items of up to `FEW` distinct shingles are searched exactly: every shingle of a document is looked up among theirs, and an item that
+has the threshold's share of distinct hits is a candidate. The sketches below could lose such items, whose few hashes other
+shingles of a window may displace.
+
+Larger items fall into classes by their number of distinct shingles, in powers of two. For a class of up to u shingles, a document's
 shingles are cut into overlapping windows of 2u, so a short item is compared with pieces of about its own size however long the
 document is. Sketches are one-permutation MinHashes of 4u bins: the least hash of each bin. A window and an item that share
-the least hash of any bin are a candidate; with four bins a shingle an item of which four fifths are in
-the document, together or scattered, has a shared bin but for odds far below 1e-9. Candidates are then verified on the words of the whole document.
+the least hash of any bin are a candidate. With four bins a shingle, a shingle of the item is displaced in a window with odds of about
+0.21, so an item of 33 shingles or more of which four fifths (27 at least) are in the document, together or scattered, is missed with odds
+of about 0.21 ** 27 < 1e-17. At a lower threshold t the odds are about 0.21 ** (t * 33). Candidates are then verified on the words of the whole document.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at most `block_bytes` of text, one pass over the documents
 for each block, so what is sent is bounded whatever the benchmark's size.
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 from burstline.llm.common import _PUNCT, buffers, chunks, windows, word_hashes, words
 
 
+#: Distinct shingles of an item up to which it is searched exactly.
+FEW = 32
+
+
 class Searcher:
     """Finds the items of one block in texts."""
 
@@ -42,8 +51,15 @@ class Searcher:
             self.shingles.append(frozenset(tuple(own[i : i + n]) for i in range(len(own) - n + 1)))
             h = np.unique(windows(hashes[first[k] : first[k + 1]], n))
             self.hashes.append(h)
-            if len(h):
-                classes.setdefault(max(3, int(len(h) - 1).bit_length()), []).append((k, h))
+            if len(h) > FEW:
+                classes.setdefault(int(len(h) - 1).bit_length(), []).append((k, h))
+        # Of items of few shingles: all hashes, sorted, and whose they are, and a table of their first 20 bits.
+        few = [k for k, h in enumerate(self.hashes) if 0 < len(h) <= FEW]
+        values = np.concatenate([np.zeros(0, np.uint64), *(self.hashes[k] for k in few)])
+        owners, order = np.repeat(np.asarray(few, np.int64), [len(self.hashes[k]) for k in few]), np.argsort(values, kind="stable")
+        self.few = values[order], owners[order], np.zeros(1 << 20, bool)
+        self.few[2][values >> np.uint64(44)] = True
+        self.sizes = np.asarray([len(h) for h in self.hashes], np.int64)
         # For each class: u, bits of a bin's number, sorted sketch hashes and whose they are, and a table of their first 20 bits.
         self.classes = []
         for c, members in sorted(classes.items()):
@@ -67,7 +83,7 @@ class Searcher:
         local = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         h = hashes[first[doc] + local] if len(doc) else hashes[:0]
         pairs = [self._candidates(h, doc, local, count, *one) for one in self.classes]
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+        pairs = np.unique(np.concatenate([self._exact(h, doc), *pairs]), axis=0)
         found, data = [], None
         for d, k in pairs.tolist():
             data = raw.tobytes() if data is None else data
@@ -79,6 +95,22 @@ class Searcher:
                 found.append((d, k, shared))
         return found
 
+    def _exact(self, h, doc) -> np.ndarray:
+        """Texts and items of few shingles of which they have enough."""
+        values, owners, table = self.few
+        hit = np.flatnonzero(table[h >> np.uint64(44)])
+        low, high = np.searchsorted(values, h[hit], "left"), np.searchsorted(values, h[hit], "right")
+        n = high - low
+        if not n.sum():
+            return np.zeros((0, 2), np.int64)
+        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # A place stands for an item and one of its shingles, so a shingle counts once a text.
+        once = np.unique(np.repeat(doc[hit], n) * len(values) + place)
+        met, shared = np.unique(once // len(values) * len(self.sizes) + owners[once % len(values)], return_counts=True)
+        who, item = met // len(self.sizes), met % len(self.sizes)
+        enough = shared >= self.threshold * self.sizes[item] - 1e-9
+        return np.stack([who[enough], item[enough]], axis=1)
+
     def _candidates(self, h, doc, local, count, u, bits, values, owners, table) -> np.ndarray:
         blocks = -(-count // u)
         base = np.cumsum(blocks) - blocks

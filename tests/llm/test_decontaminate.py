@@ -64,3 +64,12 @@ def test_empty(spark):
     assert decontaminate.contaminated(table(spark, texts), none).count() == 0
     assert decontaminate.drop_contaminated(table(spark, texts), none).count() == len(texts)
     assert decontaminate.contaminated(table(spark, []), spark.createDataFrame(items, none.schema)).count() == 0
+
+
+def test_short_items_in_long_documents(spark):
+    """Items of one to a few shingles, each once at every place of texts that other shingles fill."""
+    draw = rng(24)
+    items = [(k, " ".join(f"q{k}x{i}" for i in range(n))) for k, n in enumerate([5, 5, 6, 7, 8, 12])]
+    texts = [(i, " ".join([*words(draw, int(draw.integers(0, 300)), 10**6), items[i % 6][1], *words(draw, 300, 10**6)])) for i in range(600)]
+    got = decontaminate.contaminated(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i % 6) for i in range(600)]
