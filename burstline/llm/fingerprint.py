@@ -5,9 +5,10 @@ lane modulo a power of two. So order doesn't matter, and a paragraph is put in o
 subtracting its vector. The vector of a paragraph has
   4 lanes modulo 2**56   independent hashes of the whole paragraph: equality
   1 lane modulo 2**40    the number of its phrases
-  8 x 36 lanes modulo 2**20   each phrase in one lane, in level 0 for half of the phrases, 1 for a quarter, and so on: likeness
+  28 x 36 lanes modulo 2**20   each phrase in one lane, in level 0 for half of the phrases, 1 for a quarter, and so on: likeness
 The levels show how many phrases two documents don't share: in a level that is not full, the lanes that differ count them, and
-the likeness is 1 - (phrases in one but not the other) / (phrases of both), estimated so.
+the likeness is 1 - (phrases in one but not the other) / (phrases of both), estimated so. The last level takes 1 of 2**27 phrases, so it
+is not full for any two texts that a string can hold (2**31 bytes, at least two a phrase).
 
 A paragraph is a line; a phrase is up to eight words, and ends at a full stop, an exclamation or a question mark. A fingerprint is an ARRAY<BIGINT>: the five lanes, then three lanes of
 20 bits a number. Defined cases: a null or empty text is the zero vector; a repeated row or doc_id is followed by its next repetition, in the
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from burstline.llm.common import order_key, partitions, range_bucket
 
-LEVELS, WORDS, FIELD = 8, 12, 21
+LEVELS, WORDS, FIELD = 28, 12, 21
+#: Levels made and compared for every text; those above have 1 of 2**NEAR phrases, and mostly nothing.
+NEAR = 7
 LANES = 3 * WORDS
 _WIDE = (1 << 56) - 1
 _COUNT = (1 << 40) - 1
@@ -40,31 +43,47 @@ def _wide_lane(paragraphs, i: int):
     return F.aggregate(paragraphs, _long(0), add)
 
 
-def _level(hashes, level: int):
-    """The lanes of one level: its phrases are those whose hash ends in `level` zero bits (the last level takes the rest)."""
-    last = level == LEVELS - 1
-    low, value = (1 << level if last else 2 << level) - 1, 0 if last else 1 << level
+def _level(hashes, low, value):
+    """The lanes of one level: its phrases are those whose hash is `value` in the bits of `low`."""
 
     def unit(h):
-        lane = F.pmod(F.shiftrightunsigned(h, 8), _long(LANES)).cast("int")
-        number = F.shiftrightunsigned(h, 24).bitwiseAND(_long((1 << 20) - 1)).bitwiseOR(_long(1))
+        lane = F.pmod(F.shiftrightunsigned(h, LEVELS), _long(LANES)).cast("int")
+        number = F.shiftrightunsigned(h, 44).bitwiseOR(_long(1))
         shift = F.when(lane % 3 == 0, _long(1)).when(lane % 3 == 1, _long(1 << FIELD)).otherwise(_long(1 << 2 * FIELD))
         return F.struct(F.floor(lane / 3).cast("int").alias("word"), (number * shift).alias("add"))
 
     def put(sums, u):
         return F.transform(sums, lambda v, i: F.when(i == u["word"], (v + u["add"]).bitwiseAND(_long(_MASK))).otherwise(v))
 
-    own = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(_long(low)) == _long(value)), unit)
+    own = F.transform(F.filter(hashes, lambda h: h.bitwiseAND(low) == value), unit)
     return F.aggregate(own, F.array_repeat(_long(0), WORDS), put)
 
 
+def _bits(level: int):
+    """A phrase is of the level that its hash ends in so many zero bits (the last level takes the rest)."""
+    last = level == LEVELS - 1
+    return F.struct(_long((1 << level if last else 2 << level) - 1).alias("low"), _long(0 if last else 1 << level).alias("value"))
+
+
+def _levels(hashes):
+    """The number of phrases and the lanes of all levels."""
+
+    def made(own, levels: range):
+        return F.flatten(F.transform(F.array(*(_bits(i) for i in levels)), lambda m: _level(own, m["low"], m["value"])))
+
+    rest = F.filter(hashes, lambda h: h.bitwiseAND(_long((1 << NEAR) - 1)) == _long(0))
+    none = F.array_repeat(_long(0), (LEVELS - NEAR) * WORDS)
+    far = F.transform(F.array(rest), lambda r: F.when(F.size(r) == 0, none).otherwise(made(r, range(NEAR, LEVELS))))[0]
+    return F.concat(F.array(F.size(hashes).cast("long")), made(hashes, range(NEAR)), far)
+
+
 def fingerprint(text):
     """The fingerprint of a text column."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     paragraphs = F.filter(F.split(text, r"\n+"), lambda p: p != "")
     phrases = F.regexp_extract_all(text, F.lit(r"(?:[^\s.!?]++[ \t]*+){1,8}+[.!?]*+"), F.lit(0))
     # Through a one-element array, so that the hashes are made once and not for each level.
-    levels = F.transform(F.array(F.transform(phrases, lambda c: F.xxhash64(c))), lambda h: F.concat(F.array(F.size(h).cast("long")), *(_level(h, i) for i in range(LEVELS))))[0]
+    levels = F.transform(F.array(F.transform(phrases, lambda c: F.xxhash64(c))), _levels)[0]
     wide = F.transform(F.array(paragraphs), lambda p: F.array(*(_wide_lane(p, i) for i in range(4))))[0]
     return F.concat(wide, levels)
 
@@ -110,13 +129,22 @@ def as_text(fp):
 
 def likeness(a, b):
     """0 to 1: the share of phrases that two documents have in common, from their fingerprints alone."""
-    estimates = []
-    for level in range(LEVELS):
-        first = 6 + level * WORDS
-        apart = F.zip_with(F.slice(a, first, WORDS), F.slice(b, first, WORDS), lambda x, y: x.bitwiseXOR(y))
-        count = F.aggregate(apart, F.lit(0), lambda n, x: n + sum(F.when(x.bitwiseAND(_long(field)) != 0, 1).otherwise(0) for field in _FIELDS))
-        estimates.append(count)
-    return F.transform(F.array(F.struct(F.array(*estimates).alias("x"), (a[4] + b[4]).alias("n"), (a == b).alias("same"))), _likeness)[0]
+    # Through a one-element array, so that each fingerprint is made once and not for each level.
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _compared(s["a"], s["b"]))[0]
+
+
+def _compared(a, b):
+    def differ(first):
+        apart = F.zip_with(F.slice(a, first, F.lit(WORDS)), F.slice(b, first, F.lit(WORDS)), lambda x, y: x.bitwiseXOR(y))
+        return F.aggregate(apart, F.lit(0), lambda n, x: n + sum(F.when(x.bitwiseAND(_long(field)) != 0, 1).otherwise(0) for field in _FIELDS))
+
+    def counts(levels: range):
+        return F.transform(F.array(*(F.lit(6 + i * WORDS) for i in levels)), differ)
+
+    above = [F.slice(x, 6 + NEAR * WORDS, (LEVELS - NEAR) * WORDS) for x in (a, b)]
+    far = F.when(above[0] == above[1], F.array_repeat(F.lit(0), LEVELS - NEAR)).otherwise(counts(range(NEAR, LEVELS)))
+    estimates = F.concat(counts(range(NEAR)), far)
+    return F.transform(F.array(F.struct(estimates.alias("x"), (a[4] + b[4]).alias("n"), (a == b).alias("same"))), _likeness)[0]
 
 
 def _likeness(s):

@@ -50,3 +50,15 @@ def test_one_document_follows_itself(spark):
     r = fp.compare_edited(table(spark, [(3, "abcd")])).first()
     assert (r.edited_sha256, r.near_next) == (hashlib.sha256(b"abab").hexdigest(), 1.0)
     assert fp.compare_edited(table(spark, [])).count() == 0
+
+
+def test_likeness_of_very_long_texts(spark):
+    """Texts of 60,000 phrases, over 3 MB: half and nothing shared, and a short one beside them."""
+    draw = rng(25)
+    phrases = [f"{' '.join(words(draw, 7, 10**9))} s{i}." for i in range(120_000)]
+    base = " ".join(phrases[:60_000])
+    assert len(base) > 3_000_000
+    df = spark.createDataFrame([(0, base, " ".join(phrases[30_000:90_000])), (1, base, " ".join(phrases[60_000:])), (2, base, phrases[-1])], "i int, a string, b string")
+    own = df.select("i", fp.fingerprint(F.col("a")).alias("a"), fp.fingerprint(F.col("b")).alias("b"))
+    got = [r[1] for r in own.select("i", fp.likeness(F.col("a"), F.col("b"))).orderBy("i").collect()]
+    assert abs(got[0] - 0.5) < 0.25 and got[1] < 0.3 and got[2] < 0.3
