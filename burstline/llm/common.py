@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,33 +23,88 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder named in spark.checkpoint.dir. One of our own only where that is unset and the master local, as in tests: on a cluster
+    executors would each write to a disk of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="burstline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, as Spark takes it: without a scheme it is in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    path, system = _file(spark, path)
+    return system.makeQualified(path).toString()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path, system = _file(spark, path)
+    system.delete(path, True)
+
+
+#: Folders of this session, innermost scratch() last.
+_FOLDERS: list[list[str]] = [[]]
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/burstline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/burstline/{name}-{uuid.uuid4().hex}"
+    _FOLDERS[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made inside are deleted at the end: for a result that is written inside, by kept()."""
+    _FOLDERS.append([])
+    try:
+        yield
+    finally:
+        for path in _FOLDERS.pop():
+            delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As written(), but the folder outlives the innermost scratch()."""
+    out = written(df, name)
+    if len(_FOLDERS) > 1:
+        _FOLDERS[-2].append(_FOLDERS[-1].pop())
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all folders of this session. Results not yet read or written elsewhere are lost."""
+    for folders in _FOLDERS:
+        while folders:
+            delete(spark, folders.pop())
 
 
 #: Shuffle files of a finished write are of no more use; without this they stay until the driver collects its garbage.
 _CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffles."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+@contextmanager
+def shuffles_freed(spark: SparkSession):
     before = spark.conf.get(_CLEANED, "false")
     spark.conf.set(_CLEANED, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANED, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, frees its shuffles."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,7 +128,6 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return low
 
 
-_BLOCK = 1 << 19  # bytes hashed at a time, so that memory stays bounded for any text
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,54 +174,51 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if n not in _POWERS:
-        base = 0x5851F42D4C957F2D
-        inverse = pow(base, -1, 2**64)
-        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[n] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS[n]
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes modulo 2**64, then mixed."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, side="right")))
-        high = int(ends[j - 1])
-        if high - low > _BLOCK:  # one word of over half a MB
-            import xxhash
-
-            out[i] = xxhash.xxh64_intdigest(raw[low:high].tobytes())
-        else:
-            up, down = _powers(_BLOCK)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE[raw[low:high]] * up[: high - low], out=sums[1:])
-            a, b = starts[i:j] - low, ends[i:j] - low
-            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _MULT)
-        i = j
+_TAIL = np.asarray([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_LONG = 64  # bytes of a word from which on XXH64 hashes it
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; those of two seeds are independent of each other.
+
+    The hash starts from the word's length and takes its bytes in, eight at a time, each time through a full mix: two words of up to eight
+    bytes never collide, other pairs with odds of 2**-64. Words of over 64 bytes go through XXH64.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix((size.astype(np.uint64) + np.uint64(seed << 40) + np.uint64(1)) * _MULT)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))
+    on = np.flatnonzero(size <= _LONG)
+    for step in range(0, _LONG, 8):
+        on = on[size[on] > step]
+        if not len(on):
+            break
+        part = eight[starts[on] + step].view("<u8")[:, 0] & _TAIL[np.minimum(size[on] - step, 8)]
+        out[on] = mix(out[on] ^ part)
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        import xxhash
+
+        for i in long.tolist():
+            out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
 def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of n words; entry i is that of the run that starts at word i."""
+    """Hashes of all runs of n words; entry i is that of the run that starts at word i.
+
+    Runs of twice a length are two of that length end to end; one of n words is two of the greatest power of two in n, from both its ends.
+    """
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, (seed + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-    for j in range(n):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + m]
-    return mix(out)
+    out, length = hashes, 1
+    while length < n:
+        step = min(length, n - length)
+        out = mix(out[: len(out) - step] * _MULT + out[step:])
+        length += step
+    return mix(out[:m] + np.uint64(seed + 1) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def chunks(offsets: np.ndarray, limit: int = 1 << 20):

@@ -8,7 +8,8 @@ A file of records is a run of frames; a frame is
 all little-endian. A check is masked by turning it 15 bits right and adding 0xA282EAD8, so that checks over data that hold checks
 stay useful. `name.idx` is the u64 offsets of all frames, then one frame of the same kind whose payload is their count.
 
-Files are written under a name of the attempt and renamed when whole, so a task may run twice.
+Every attempt of a task writes files of its own name, which are never renamed; the names of those that count come to the driver and are
+written as a table beside them, so a task may run twice and a half-written file is never read.
 Defined cases: a null or empty text is the end id alone; a null doc_id comes last; repeated rows are
 written each; an empty table gives no files; other columns are ignored.
 """
@@ -24,10 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm.common import buffers, new_folder, order_key, partitions
+from burstline.llm.common import buffers, new_folder, order_key, partitions, qualified
 from burstline.llm.tokens import encoder
 
 _HEAD = struct.Struct("<BBq")
+_FILES = "shard long, name string, records long, ids long"
 
 
 def masked(data: bytes) -> int:
@@ -65,15 +67,20 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def filesystem(uri: str):
+    """(file system, path) of a qualified folder."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2) -> list:
-    """Write all documents in ascending doc_id as files of records; returns a row (shard, records, ids) a file, in order."""
+    """Write all documents in ascending doc_id as files of records; returns a row (shard, name, records, ids) a file, in order.
+
+    The rows are also the table `files` of the folder, which files() reads.
+    """
+    spark, folder = docs.sparkSession, qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -89,8 +96,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     if out is None:
                         disk, path = filesystem(folder)
                         disk.create_dir(path, recursive=True)
-                        part = f"{path}/.{shard:06d}-{uuid.uuid4().hex}"
-                        out = disk.open_output_stream(part)
+                        name = f"{shard:06d}-{uuid.uuid4().hex}"
+                        out = disk.open_output_stream(f"{path}/{name}.rec")
                     data = frame(pack_ids(names[first + k], np.append(ids[to[k] : to[k + 1]], end)))
                     out.write(data)
                     offsets.append(at)
@@ -98,36 +105,43 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     ids_total += int(to[k + 1] - to[k]) + 1
         if out is not None:
             out.close()
-            with disk.open_output_stream(f"{part}.idx") as index:
+            with disk.open_output_stream(f"{path}/{name}.idx") as index:
                 index.write(np.asarray(offsets, "<u8").tobytes() + frame(struct.pack("<Q", len(offsets))))
-            disk.move(f"{part}.idx", f"{path}/{shard:06d}.idx")
-            disk.move(part, f"{path}/{shard:06d}.rec")
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(offsets), ids_total)], names=["shard", "records", "ids"])
+            numbers = [pa.array([x], pa.int64()) for x in (shard, len(offsets), ids_total)]
+            yield pa.RecordBatch.from_arrays([numbers[0], pa.array([name]), *numbers[1:]], names=["shard", "name", "records", "ids"])
 
-    n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), order_key().alias("__k"))
-    dealt = rows.repartitionByRange(n, "__k").sortWithinPartitions("__k", "text").select("doc_id", "text")
+    n = partitions(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), order_key().alias("__k"), F.substr(F.col("text").cast("string"), F.lit(1), F.lit(32)).alias("__p"))
+    # By the beginning of the text too, so that null doc_ids are several files.
+    dealt = rows.repartitionByRange(n, "__k", "__p").sortWithinPartitions("__k", "text").select("doc_id", "text")
     # One row a file comes to the driver.
-    return sorted(dealt.mapInArrow(write, "shard long, records long, ids long").collect(), key=lambda r: r.shard)
+    made = sorted(dealt.mapInArrow(write, _FILES).collect(), key=lambda r: r.shard)
+    spark.createDataFrame(made, _FILES).coalesce(1).write.parquet(f"{folder}/files")
+    return made
+
+
+def files(spark: SparkSession, folder: str) -> list:
+    """The rows that write_records() returned."""
+    return sorted(spark.read.schema(_FILES).parquet(f"{qualified(spark, folder)}/files").collect(), key=lambda r: r.shard)
 
 
-def read_records(spark: SparkSession, folder: str, shards: list) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, shards: list | None = None) -> DataFrame:
     """Every record of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32, shard, place."""
+    shards, folder = files(spark, folder) if shards is None else shards, qualified(spark, folder)
     starts = np.cumsum([0, *(r.ids for r in shards)]).tolist()
-    names = [r.shard for r in shards]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, place long"
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        disk, path = filesystem(folder)
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                disk, path = filesystem(folder)
                 rows, start, place = [], starts[i], 0
-                with disk.open_input_stream(f"{path}/{names[i]:06d}.rec") as file:
+                with disk.open_input_stream(f"{path}/{shards[i].name}.rec") as file:
                     while (payload := read_frame(file)) is not None:
                         doc_id, ids = unpack_ids(payload)
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), names[i], place))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), shards[i].shard, place))
                         start, place = start + len(ids), place + 1
                         if len(rows) == 10_000:
                             yield _batch(pa, rows)
@@ -135,7 +149,7 @@ def read_records(spark: SparkSession, folder: str, shards: list) -> DataFrame:
                 if rows:
                     yield _batch(pa, rows)
 
-    return spark.range(0, len(names), 1, max(1, len(names))).mapInArrow(read, schema)
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, schema)
 
 
 def _batch(pa, rows):
@@ -143,10 +157,10 @@ def _batch(pa, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
-def read_at(folder: str, shard: int, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
-    """Records at the given places of one file, in that order, by its index alone: for shuffled reads."""
+def read_at(folder: str, name: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
+    """Records at the given places of one file (of a qualified folder), in that order, by its index alone: for shuffled reads."""
     disk, path = filesystem(folder)
-    with disk.open_input_file(f"{path}/{shard:06d}.idx") as index, disk.open_input_file(f"{path}/{shard:06d}.rec") as file:
+    with disk.open_input_file(f"{path}/{name}.idx") as index, disk.open_input_file(f"{path}/{name}.rec") as file:
         out = []
         for place in places:
             index.seek(8 * place)

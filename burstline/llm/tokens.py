@@ -5,6 +5,9 @@ vocabulary file cuts them: runs of letters, single digits, runs of other marks.
 the library's own BPE model and its ids are kept. Any other text goes through the library word by word: its
 rules never match across ASCII white space, which is dropped, NFC doesn't compose with it, and no added token
 holds any, so a text's ids are those of its words in turn.
+
+A run is known by two independent 64-bit hashes. Where only one of them agrees the texts go word by word, so a wrong id needs two different runs
+that agree in 128 bits.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ class Encoder:
         self.plain = self._is_checked()
 
     def _forget(self) -> None:
-        self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.words: dict[bytes, np.ndarray] = {}
 
@@ -54,7 +58,10 @@ class Encoder:
         """Whether plain texts may be cut in bulk: tried on samples, as another vocabulary may have other rules."""
         samples = ["Abc wordlike ÜBER naïve, stop!!", "a| x&&& été. q(e)\nNDANSH!! Ça## 1234 a1b2", "<x> ß ÿ \t\f\v ~", ""]
         raw = [s.encode() for s in samples]
-        ids, at = self._bulk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        made = self._bulk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        if made is None:
+            return False
+        ids, at = made
         return np.array_equal(ids, np.concatenate([self._whole(s) for s in samples])) and len(at) == len(raw) + 1
 
     def _whole(self, text: str) -> np.ndarray:
@@ -71,10 +78,10 @@ class Encoder:
             parts.append(ids)
         return np.concatenate(parts)
 
-    def _learn(self, raw, starts, ends, hashes) -> None:
+    def _learn(self, raw, starts, ends, hashes, checks) -> None:
         """Encode runs met for the first time."""
         if len(self.known) + len(hashes) > _RUNS:
-            self.known, self.at, self.n = self.known[:0], self.at[:0], self.n[:0]
+            self.known, self.check, self.at, self.n = self.known[:0], self.check[:0], self.at[:0], self.n[:0]
             self.used = 0
         data, tokenize, new, n = raw.tobytes(), self.tokenizer.model.tokenize, array("I"), []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -90,10 +97,10 @@ class Encoder:
         at = self.used + np.cumsum(n) - n
         self.used += len(new)
         place = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.n = (np.insert(old, place, more) for old, more in ((self.known, hashes), (self.at, at), (self.n, n)))
+        self.known, self.check, self.at, self.n = (np.insert(old, place, more) for old, more in ((self.known, hashes), (self.check, checks), (self.at, at), (self.n, n)))
 
-    def _bulk(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain texts, and where each text's begin."""
+    def _bulk(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain texts, and where each text's begin; None where two different runs have one hash."""
         low = raw.copy()
         low[(raw >= 0x41) & (raw <= 0x5A)] |= 0x20
         second = np.flatnonzero(raw == 0xC3) + 1
@@ -113,7 +120,7 @@ class Encoder:
         if len(blank):
             i = np.searchsorted(blank, starts)
             ends = np.minimum(ends, np.append(blank, len(raw))[i])
-        hashes = word_hashes(low, starts, ends)
+        hashes, checks = word_hashes(low, starts, ends), word_hashes(low, starts, ends, 1)
         distinct, some, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, distinct)
         seen = np.zeros(len(distinct), bool)
@@ -123,9 +130,11 @@ class Encoder:
             if len(self.known) + int((~seen).sum()) > _RUNS:
                 seen[:] = False
             new = some[~seen]
-            self._learn(low, starts[new], ends[new], distinct[~seen])
+            self._learn(low, starts[new], ends[new], distinct[~seen], checks[new])
             place = np.searchsorted(self.known, distinct)
         place = place[inverse]
+        if not np.array_equal(self.check[place], checks):
+            return None
         n = self.n[place]
         stop = np.cumsum(n)
         ids = self.pool[np.repeat(self.at[place] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
@@ -143,16 +152,22 @@ class Encoder:
             odd[:-1] |= (part[:-1] == 0x3C) & (part[1:] == 0x7C)  # an added token may begin
             odd = np.append(0, np.cumsum(odd))
             other = np.flatnonzero((odd[at[1:]] > odd[at[:-1]]) | (not self.plain))
-            if len(other):
-                part, texts = part.copy(), {}
-                for k in other.tolist():
-                    texts[k] = self._by_word(part[at[k] : at[k + 1]].tobytes())
-                    part[at[k] : at[k + 1]] = 0x20
-                ids, to = self._bulk(part, at) if self.plain else (np.zeros(0, np.uint32), np.zeros(len(at), np.int64))
-                parts = [texts[k] if k in texts else ids[to[k] : to[k + 1]] for k in range(j - i)]
-                yield i, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-            else:
-                yield i, *self._bulk(part, at)
+            made = np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+            if len(other) < j - i:
+                rest = part
+                if len(other):
+                    rest = part.copy()
+                    for k in other.tolist():
+                        rest[at[k] : at[k + 1]] = 0x20
+                made = self._bulk(rest, at)
+            if made is None:
+                other = np.arange(j - i)
+            if not len(other):
+                yield i, *made
+                continue
+            texts = {k: self._by_word(part[at[k] : at[k + 1]].tobytes()) for k in other.tolist()}
+            parts = [texts[k] if k in texts else made[0][made[1][k] : made[1][k + 1]] for k in range(j - i)]
+            yield i, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -131,3 +131,44 @@ def test_bulk_tokens_match_the_library():
     for _, ids, at in encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])):
         got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12, 13])
+def test_long_runs_of_two_letters(bits):
+    """Thue-Morse words, which polynomial hashes modulo powers of two take for one."""
+    one = "a"
+    for _ in range(bits):
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    encoder = tokens.Encoder(PATH)
+    raw = [t.encode() for t in texts]
+    (_, ids, at), = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_runs_that_collide_go_word_by_word(monkeypatch):
+    texts = ["some words here, and more", "other words: 12 é", "<x> don't"]
+    raw = [t.encode() for t in texts]
+    encoder = tokens.Encoder(PATH)
+    real = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda raw, a, b, seed=0: real(raw, a, b, seed) if seed else real(raw, a, b) % np.uint64(5))
+    encoder._forget()
+    (_, ids, at), = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_word_hashes():
+    """Words of 0 to 200 bytes: equal for equal words wherever they stand, and the two seeds tell all others apart."""
+    from burstline.llm.common import word_hashes
+
+    draw = rng(4)
+    words = list({draw.integers(0, 3, int(n)).astype(np.uint8).tobytes() for n in draw.integers(0, 200, 5000)})
+    twice = [*words, *words[::-1]]
+    ends = np.cumsum([len(w) for w in twice])
+    raw = np.frombuffer(b"".join(twice), np.uint8)
+    for seed in range(2):
+        h = word_hashes(raw, ends - [len(w) for w in twice], ends, seed)
+        assert (h[: len(words)] == h[len(words) :][::-1]).all() and len(np.unique(h)) == len(words)
+    assert not set(word_hashes(raw, ends - [len(w) for w in twice], ends).tolist()) & set(h.tolist())

@@ -75,3 +75,37 @@ def test_doubled_until_none_is_left(spark, window):
     got = {r.doc_id: r.longest for r in substring.longest_repeats(table(spark, texts), window).collect()}
     assert got == want and len(set(want.values())) > 1
     assert substring.longest_repeats(table(spark, [])).count() == 0
+
+
+def thue_morse(bits):
+    """Two different words of 2**bits letters that polynomial hashes modulo powers of two take for one."""
+    a = "a"
+    for _ in range(bits):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 13])
+def test_long_words_that_differ_are_kept(spark, bits):
+    one, two = thue_morse(bits)
+    head = [f"w{i}" for i in range(12)]
+    got = substring.remove_repeats(table(spark, [(1, " ".join([*head, one])), (2, " ".join([*head, two])), (3, " ".join([*head, one]) + " x")])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
+
+
+def test_columns_of_any_names(spark):
+    texts = [(i, t, i, i, "x") for i, t in made(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, `__k` long, part long, `t.1` string")
+    out = substring.strip_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(texts)
+    assert all(r["__k"] == r.doc_id == r.part and r["t.1"] == "x" for r in out.collect())
+
+
+@pytest.mark.parametrize("window", [29, 50])
+def test_several_levels(spark, window):
+    draw = rng(8)
+    shared = [" ".join(words(draw, int(n))) for n in (28, 49, 60, 120)]
+    texts = [(i, " ".join([*words(draw, int(draw.integers(0, 30)), 4), shared[i % 4], *words(draw, 10, 4), shared[(i + 1) % 4]])) for i in range(20)]
+    assert len(substring.lengths(window)) > 2
+    got = [tuple(r) for r in substring.remove_repeats(table(spark, texts), window).collect()]
+    assert sorted(got, key=repr) == sorted((x[:4] for x in slow(texts, window)), key=repr)
