@@ -12,7 +12,7 @@ the least hash of any bin are a candidate. With four bins a shingle, a shingle o
 of about 0.21 ** 27 < 1e-17. At a lower threshold t the odds are about 0.21 ** (t * 33). Candidates are then verified on the words of the whole document.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at most `block_bytes` of text, one pass over the documents
-for each block, so what is sent is bounded whatever the benchmark's size.
+for each block, so what is sent and what the driver holds is bounded whatever the benchmark's size.
 
 Words are runs of characters other than ASCII white space and punctuation, lower-cased. Defined cases: items and documents
 of fewer than `n` words match nothing; null and empty texts too; rows of docs are judged one by one; repeated items (same id and text)
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.common import _PUNCT, buffers, chunks, windows, word_hashes, words
+from burstline.llm.common import _PUNCT, buffers, chunks, windows, word_hashes, words, written
 
 
 #: Distinct shingles of an item up to which it is searched exactly.
@@ -152,33 +152,43 @@ def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list[t
 _FOUND = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """A row for each document row and item of which it holds `threshold` or more."""
+def _found(docs: DataFrame, block: list, n: int, threshold: float) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    out = None
-    for block in item_blocks(items, block_bytes):
 
-        def find(batches: Iterator, block=block) -> Iterator:
-            import pyarrow as pa
+    def find(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        searcher = Searcher(block, n, threshold)
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            names, found = batch.column(0), []
+            for i, j in chunks(offsets):
+                part = searcher.find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found += [(names[i + d].as_py(), block[k][0], shared, len(searcher.shingles[k])) for d, k, shared in part]
+            columns = [pa.array([x[c] for x in found], pa.int64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[2] / x[3] for x in found], pa.float64())], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+
+    return rows.mapInArrow(find, _FOUND)
 
-            searcher = Searcher(block, n, threshold)
-            for batch in batches:
-                raw, offsets = buffers(batch.column(1))
-                names, found = batch.column(0), []
-                for i, j in chunks(offsets):
-                    part = searcher.find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    found += [(names[i + d].as_py(), block[k][0], shared, len(searcher.shingles[k])) for d, k, shared in part]
-                columns = [pa.array([x[c] for x in found], pa.int64()) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[2] / x[3] for x in found], pa.float64())], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        one = rows.mapInArrow(find, _FOUND)
-        out = one if out is None else out.unionByName(one)
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """A row for each document row and item of which it holds `threshold` or more."""
+    blocks = item_blocks(items, block_bytes)
+    block, out = next(blocks, None), None
+    while block is not None:
+        after, found = next(blocks, None), _found(docs, block, n, threshold)
+        # With several blocks each one's finds are written before the next is read, so the driver and a plan hold one or two at a time.
+        found = found if out is None and after is None else written(found, "found")
+        out, block = found if out is None else out.unionByName(found), after
     return docs.sparkSession.createDataFrame([], _FOUND) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """docs, in all its columns, without rows that hold `threshold` or more of any item."""
-    for block in item_blocks(items, block_bytes):
+    blocks = item_blocks(items, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
 
         def keep(batches: Iterator, block=block) -> Iterator:
             import pyarrow as pa
@@ -194,4 +204,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold:
                 yield rest.filter(pa.array(good))
 
         docs = docs.select("*", F.lower(F.col("text").cast("string")).alias("__lowered")).mapInArrow(keep, docs.schema)
+        if after is not None:  # as above: one block a plan
+            docs = written(docs, "clean")
+        block = after
     return docs

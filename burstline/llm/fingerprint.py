@@ -3,14 +3,17 @@
 A paragraph is hashed into a wide vector, and a document's fingerprint is the sum of its paragraphs' vectors, lane by
 lane modulo a power of two. So order doesn't matter, and a paragraph is put in or taken out by adding or
 subtracting its vector. The vector of a paragraph has
-  4 lanes modulo 2**56   independent hashes of the whole paragraph: equality
-  1 lane modulo 2**40    the number of its phrases
-  28 x 36 lanes modulo 2**20   each phrase in one lane, in level 0 for half of the phrases, 1 for a quarter, and so on: likeness
-The levels show how many phrases two documents don't share: in a level that is not full, the lanes that differ count them, and
-the likeness is 1 - (phrases in one but not the other) / (phrases of both), estimated so. The last level takes 1 of 2**27 phrases, so it
-is not full for any two texts that a string can hold (2**31 bytes, at least two a phrase).
-
-A paragraph is a line; a phrase is up to eight words, and ends at a full stop, an exclamation or a question mark. A fingerprint is an ARRAY<BIGINT>: the five lanes, then three lanes of
+  4 lanes modulo 2**56   hashes of the whole paragraph, each of its own seed: equality
+  1 lane modulo 2**40    the number of its words
+  5 lanes modulo 2**40   one for paragraphs of over 128, 256, 512, 1024 and 2048 words each: 1 where it is so long
+  28 x 36 lanes modulo 2**20   likeness: each pair of neighbouring words (and the last word alone) in one lane of one level, in level 0 half of
+                         the pairs, in 1 a quarter, and so on; a paragraph of over 128 words leaves level 0 out, of over 256 levels 0 and 1, ...
+The levels show how many pairs two documents don't share: in a level that is not full, the lanes that differ count them, and
+the likeness is 1 - (pairs in one but not the other) / (pairs of both), estimated from the levels that neither document leaves out. A word put in or
+taken out changes two pairs and no others. The last level takes 1 of 2**27 pairs, so it
+is not full for any two texts that a string can hold (2**31 bytes, at least two a pair).
+
+A paragraph is a line; words are what lies between spaces. A fingerprint is an ARRAY<BIGINT>: the ten lanes, then three lanes of
 20 bits a number. Defined cases: a null or empty text is the zero vector; a repeated row or doc_id is followed by its next repetition, in the
 order of its text; a null doc_id comes last; a single document follows itself; other columns are ignored.
 """
@@ -23,8 +26,12 @@ from pyspark.sql import functions as F
 from burstline.llm.common import order_key, partitions, range_bucket
 
 LEVELS, WORDS, FIELD = 28, 12, 21
-#: Levels made and compared for every text; those above have 1 of 2**NEAR phrases, and mostly nothing.
+#: Levels made and compared for every text; those above have 1 of 2**NEAR pairs, and mostly nothing.
 NEAR = 7
+#: Words of a paragraph up to which no level is left out; at each doubling one more is.
+SHORT, LEFT_OUT = 128, 5
+#: Where the levels begin (from 0).
+_BASE = 5 + LEFT_OUT
 LANES = 3 * WORDS
 _WIDE = (1 << 56) - 1
 _COUNT = (1 << 40) - 1
@@ -38,13 +45,14 @@ def _long(x: int):
 
 def _wide_lane(paragraphs, i: int):
     def add(total, p):
-        return (total + F.xxhash64(p, F.lit(i)).bitwiseAND(_long(_WIDE))).bitwiseAND(_long(_WIDE))
+        # Columns are hashed from left to right, so the number first: it is the seed for the paragraph.
+        return (total + F.xxhash64(F.lit(i), p).bitwiseAND(_long(_WIDE))).bitwiseAND(_long(_WIDE))
 
     return F.aggregate(paragraphs, _long(0), add)
 
 
 def _level(hashes, low, value):
-    """The lanes of one level: its phrases are those whose hash is `value` in the bits of `low`."""
+    """The lanes of one level: its pairs are those whose hash is `value` in the bits of `low`."""
 
     def unit(h):
         lane = F.pmod(F.shiftrightunsigned(h, LEVELS), _long(LANES)).cast("int")
@@ -60,13 +68,13 @@ def _level(hashes, low, value):
 
 
 def _bits(level: int):
-    """A phrase is of the level that its hash ends in so many zero bits (the last level takes the rest)."""
+    """A pair is of the level that its hash ends in so many zero bits (the last level takes the rest)."""
     last = level == LEVELS - 1
     return F.struct(_long((1 << level if last else 2 << level) - 1).alias("low"), _long(0 if last else 1 << level).alias("value"))
 
 
 def _levels(hashes):
-    """The number of phrases and the lanes of all levels."""
+    """The lanes of all levels."""
 
     def made(own, levels: range):
         return F.flatten(F.transform(F.array(*(_bits(i) for i in levels)), lambda m: _level(own, m["low"], m["value"])))
@@ -74,18 +82,45 @@ def _levels(hashes):
     rest = F.filter(hashes, lambda h: h.bitwiseAND(_long((1 << NEAR) - 1)) == _long(0))
     none = F.array_repeat(_long(0), (LEVELS - NEAR) * WORDS)
     far = F.transform(F.array(rest), lambda r: F.when(F.size(r) == 0, none).otherwise(made(r, range(NEAR, LEVELS))))[0]
-    return F.concat(F.array(F.size(hashes).cast("long")), made(hashes, range(NEAR)), far)
+    return F.concat(made(hashes, range(NEAR)), far)
+
+
+def _pairs(paragraph):
+    """The number of words and the hashes of pairs of one paragraph, of the levels that it doesn't leave out."""
+    words = F.transform(F.filter(F.split(paragraph, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    # Through one-element arrays, so that words are cut and hashed once.
+    pairs = F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b)))[0]
+
+    def thinned(p):
+        n = F.size(p)
+        low = F.when(n <= SHORT, _long(0))
+        for i in range(1, LEFT_OUT):
+            low = low.when(n <= SHORT << i, _long((1 << i) - 1))
+        low = low.otherwise(_long((1 << LEFT_OUT) - 1))
+        return F.struct(n.cast("long").alias("n"), F.filter(p, lambda h: h.bitwiseAND(low) == _long(0)).alias("hashes"))
+
+    return F.transform(F.array(pairs), thinned)[0]
+
+
+def _over(limit: int):
+    return lambda n: n > limit
+
+
+def _measured(parts):
+    """Counts and levels of a text's paragraphs."""
+    n = F.transform(parts, lambda p: p["n"])
+    total = F.aggregate(n, _long(0), lambda t, x: t + x)
+    long = [F.size(F.filter(n, _over(SHORT << i))).cast("long") for i in range(LEFT_OUT)]
+    levels = F.transform(F.array(F.flatten(F.transform(parts, lambda p: p["hashes"]))), _levels)[0]
+    return F.concat(F.array(total, *long), levels)
 
 
 def fingerprint(text):
     """The fingerprint of a text column."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    paragraphs = F.filter(F.split(text, r"\n+"), lambda p: p != "")
-    phrases = F.regexp_extract_all(text, F.lit(r"(?:[^\s.!?]++[ \t]*+){1,8}+[.!?]*+"), F.lit(0))
-    # Through a one-element array, so that the hashes are made once and not for each level.
-    levels = F.transform(F.array(F.transform(phrases, lambda c: F.xxhash64(c))), _levels)[0]
+    paragraphs = F.filter(F.split(text, "\n"), lambda p: p != "")
     wide = F.transform(F.array(paragraphs), lambda p: F.array(*(_wide_lane(p, i) for i in range(4))))[0]
-    return F.concat(wide, levels)
+    return F.concat(wide, F.transform(F.array(F.transform(paragraphs, _pairs)), _measured)[0])
 
 
 def _fold(a, b, sign: int):
@@ -103,9 +138,9 @@ def _fold(a, b, sign: int):
         return out
 
     wide = F.zip_with(F.slice(a, 1, 4), F.slice(b, 1, 4), lambda x, y: lane(x, y, _WIDE))
-    count = F.zip_with(F.slice(a, 5, 1), F.slice(b, 5, 1), lambda x, y: lane(x, y, _COUNT))
+    count = F.zip_with(F.slice(a, 5, 1 + LEFT_OUT), F.slice(b, 5, 1 + LEFT_OUT), lambda x, y: lane(x, y, _COUNT))
     rest = LEVELS * WORDS
-    return F.concat(wide, count, F.zip_with(F.slice(a, 6, rest), F.slice(b, 6, rest), packed))
+    return F.concat(wide, count, F.zip_with(F.slice(a, _BASE + 1, rest), F.slice(b, _BASE + 1, rest), packed))
 
 
 def insert(fp, paragraphs):
@@ -128,7 +163,7 @@ def as_text(fp):
 
 
 def likeness(a, b):
-    """0 to 1: the share of phrases that two documents have in common, from their fingerprints alone."""
+    """0 to 1: the share of pairs of words that two documents have in common, from their fingerprints alone."""
     # Through a one-element array, so that each fingerprint is made once and not for each level.
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _compared(s["a"], s["b"]))[0]
 
@@ -139,18 +174,19 @@ def _compared(a, b):
         return F.aggregate(apart, F.lit(0), lambda n, x: n + sum(F.when(x.bitwiseAND(_long(field)) != 0, 1).otherwise(0) for field in _FIELDS))
 
     def counts(levels: range):
-        return F.transform(F.array(*(F.lit(6 + i * WORDS) for i in levels)), differ)
+        return F.transform(F.array(*(F.lit(_BASE + 1 + i * WORDS) for i in levels)), differ)
 
-    above = [F.slice(x, 6 + NEAR * WORDS, (LEVELS - NEAR) * WORDS) for x in (a, b)]
+    above = [F.slice(x, _BASE + 1 + NEAR * WORDS, (LEVELS - NEAR) * WORDS) for x in (a, b)]
     far = F.when(above[0] == above[1], F.array_repeat(F.lit(0), LEVELS - NEAR)).otherwise(counts(range(NEAR, LEVELS)))
     estimates = F.concat(counts(range(NEAR)), far)
-    return F.transform(F.array(F.struct(estimates.alias("x"), (a[4] + b[4]).alias("n"), (a == b).alias("same"))), _likeness)[0]
+    left_out = F.greatest(*(F.when((a[4 + i] != 0) | (b[4 + i] != 0), i).otherwise(0) for i in range(1, LEFT_OUT + 1)))
+    return F.transform(F.array(F.struct(estimates.alias("x"), left_out.alias("out"), (a[4] + b[4]).alias("n"), (a == b).alias("same"))), _likeness)[0]
 
 
 def _likeness(s):
     counted = F.transform(s["x"], lambda x: F.when(x >= LANES, F.lit(4.0 * LANES)).otherwise(-LANES * F.log(1 - x / F.lit(float(LANES)))))
     full = F.transform(s["x"], lambda x, i: F.when(x > LANES * 3 // 4, i + 1).otherwise(0))
-    low = F.least(F.array_max(full), F.lit(LEVELS - 1))
+    low = F.least(F.greatest(F.array_max(full), s["out"]), F.lit(LEVELS - 1))
     apart = F.aggregate(F.slice(counted, low + 1, LEVELS), F.lit(0.0), lambda t, x: t + x) * F.pow(F.lit(2.0), low)
     return F.when(s["same"], F.lit(1.0)).when(s["n"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - apart / F.greatest(s["n"], F.lit(1)))).cast("double")
 

@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of up to 64 words. Every passage is encoded from dense measurements (letters, capitals, digits, marks by kind,
-word lengths, repetition within the passage and of what the document has said before); gated attention weights the
+A document is a bag of passages of up to 64 words. Every passage is encoded from its words (hashed into BUCKETS shares, whatever their case) and
+dense measurements (letters, capitals, digits, marks by kind, word lengths, repetition within the passage and of what the document has said before); gated attention weights the
 encoded passages, and the weighted sum is scored. Encoder, attention and score are learned together from document labels
 alone, on a bounded sample of labelled rows; scoring reads every passage of every text.
 
@@ -17,15 +17,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.common import buffers, chunks, mix, windows, word_hashes, words
+from burstline.llm.common import buffers, chunks, lowered, mix, windows, word_hashes, words
 from burstline.llm.models import held_out, labelled_sample, sigmoid
 
 PASSAGE = 64  # words
-_CLASSES = [bytes(range(65, 91)), bytes(range(48, 58)), b"|", b"!?", b"#$%&*@^~=+<>_\\/{}[]", b".,;:", b"'\"()-", b"\n", bytes(range(128, 256))]
+BUCKETS = 64
+_CLASSES = [bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b"#$%&*@^~=+<>_\\/{}[]|", b".,;:", b"'\"()-", b"\n", bytes(range(128, 256))]
 _TABLE = np.zeros((len(_CLASSES), 256), bool)
 for _i, _c in enumerate(_CLASSES):
     _TABLE[_i, list(_c)] = True
-FEATURES = len(_CLASSES) + 13
+_DENSE = len(_CLASSES) + 13
+FEATURES = _DENSE + BUCKETS
 
 
 def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +62,9 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     x[:, f + 3] = add((size <= 3).astype(float)) / some
     x[:, f + 4] = add((size >= 14).astype(float)) / some
     x[:, f + 5] = add(_TABLE[0][head].astype(float)) / some
-    x[:, f + 6] = add(_TABLE[3][tail].astype(float)) / some
-    x[:, f + 7] = add(_TABLE[4][tail].astype(float)) / some
-    x[:, f + 8] = add((_TABLE[2][head] & (size == 1)).astype(float)) / some
+    x[:, f + 6] = add(_TABLE[2][tail].astype(float)) / some
+    x[:, f + 7] = add(_TABLE[3][tail].astype(float)) / some
+    x[:, f + 8] = add((_TABLE[2:7, head].any(axis=0) & (size == 1)).astype(float)) / some
     # Repetition: distinct words of a passage, its commonest word, and three-word runs said earlier in the document.
     key = mix(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     _, at, times = np.unique(key, return_index=True, return_counts=True)
@@ -79,11 +81,23 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         total = np.bincount(owner[inside], minlength=len(x))
         x[:, f + 11] = (total - new) / np.maximum(total, 1)
     x[:, f + 12] = np.log1p(np.repeat(bags, bags))
+    bucket = (word_hashes(lowered(raw), starts, ends, 1) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    x[:, _DENSE:] = np.bincount(owner * BUCKETS + bucket, minlength=len(x) * BUCKETS).reshape(-1, BUCKETS) / some[:, None]
     return x, begin
 
 
+def _bags(x: np.ndarray, begin: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of the chosen documents, and where each of these begins."""
+    n = np.diff(begin)[chosen]
+    to = np.append(0, np.cumsum(n))
+    return x[np.repeat(begin[chosen] - to[:-1], n) + np.arange(to[-1])], to
+
+
 class Attention:
-    """tanh encoder, gated attention and a linear score, by plain gradient steps (Adam) on all passages of the sample."""
+    """tanh encoder, gated attention and a linear score, by gradient steps (Adam) on small batches of documents with all their passages.
+
+    A tenth of the documents is not learned from: the weights that are best on it are kept, and learning stops when they have not got better for `patience` rounds.
+    """
 
     def __init__(self, share: float, hidden: int = 24, gate: int = 12, seed: int = 11):
         self.share, self.hidden, self.gate, self.seed, self.weights = share, hidden, gate, seed, None
@@ -100,7 +114,24 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, first)
         return h, t, s, a, z, sigmoid(z @ w["c"] + w["cb"])
 
-    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, l2: float = 1e-4) -> Attention:
+    def gradients(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, back through score, attention and encoder."""
+        w, n = self.weights, np.diff(begin)
+        h, t, s, a, z, p = self._forward(x, begin)
+        d = (p - y) / len(y)
+        dz = np.repeat(d[:, None] * w["c"], n, axis=0)
+        da = (h * dz).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, begin[:-1]), n))
+        dg = de[:, None] * w["a"]
+        dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
+        dh = (a[:, None] * dz + dt @ w["v"].T + ds @ w["u"].T) * (1 - h**2)
+        return {"e": x.T @ dh, "eb": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": z.T @ d, "cb": d.sum()}
+
+    def loss(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> float:
+        p = np.clip(self._forward(x, begin)[-1], 1e-7, 1 - 1e-7)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, rounds: int = 40, batch: int = 128, rate: float = 0.01, l2: float = 1e-4, patience: int = 6) -> Attention:
         if len(set(y.tolist())) < 2:
             return self
         draw = np.random.default_rng(self.seed)
@@ -109,24 +140,30 @@ class Attention:
         shape = {"e": (x.shape[1], self.hidden), "eb": (self.hidden,), "v": (self.hidden, self.gate), "u": (self.hidden, self.gate), "a": (self.gate,), "c": (self.hidden,), "cb": ()}
         self.weights = {k: np.asarray(draw.normal(0, 1 / np.sqrt(s[0]) if len(s) == 2 else 0.3 if k in "ac" else 0, s)) for k, s in shape.items()}
         one, two = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
-        n = np.diff(begin)
-        for step in range(1, steps + 1):
-            w = self.weights
-            h, t, s, a, z, p = self._forward(x, begin)
-            d = (p - y) / len(y)
-            dz = np.repeat(d[:, None] * w["c"], n, axis=0)
-            da = (h * dz).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, begin[:-1]), n))
-            dg = de[:, None] * w["a"]
-            dt, ds = dg * s * (1 - t**2), dg * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ w["v"].T + ds @ w["u"].T) * (1 - h**2)
-            grad = {"e": x.T @ dh, "eb": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": z.T @ d, "cb": d.sum()}
-            for k, g in grad.items():
-                g = g + (l2 * w[k] if k in "evuac" else 0)
-                one[k] = 0.9 * one[k] + 0.1 * g
-                two[k] = 0.999 * two[k] + 0.001 * g**2
-                pace = rate * (1 + np.cos(np.pi * step / steps)) / 2
-                w[k] = w[k] - pace * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+        order = draw.permutation(len(y))
+        apart = len(y) // 10
+        check, learn = _bags(x, begin, order[:apart]), order[apart:]
+        best, kept, since, step = np.inf, None, 0, 0
+        for _ in range(rounds):
+            learn = draw.permutation(learn)
+            for i in range(0, len(learn), batch):
+                chosen = learn[i : i + batch]
+                step += 1
+                for k, g in self.gradients(*_bags(x, begin, chosen), y[chosen]).items():
+                    g = g + (l2 * self.weights[k] if k in "evuac" else 0)
+                    one[k] = 0.9 * one[k] + 0.1 * g
+                    two[k] = 0.999 * two[k] + 0.001 * g**2
+                    self.weights[k] = self.weights[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+            if not apart:
+                continue
+            now = self.loss(*check, y[order[:apart]])
+            if now < best - 1e-4:
+                best, kept, since = now, dict(self.weights), 0
+            else:
+                since += 1
+                if since == patience:
+                    break
+        self.weights = kept or self.weights
         return self
 
     def score(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each verified on its texts' shingles.
+"""SimHash near-dedup for a given similarity of word shingles: candidates, each verified on its texts' shingles.
 
 A text is its set of n-word shingles (words between ASCII white space, ASCII letters lower-cased), and texts of one set are one
-class. Every class gets 160 least hashes, dealt as 40 keys of four; classes that share a key and at least 88 of the 160 are
-candidates. Of two texts whose similarity is 0.8, the keys miss 0.59 ** 40 < 1e-9 and the count less than 1e-11; above 0.8 less still.
+class. Every class has a SimHash fingerprint of its shingles, and classes whose fingerprints are within two bits, found by pivot distance tables (simhash.py),
+are candidates. A Jaccard similarity of 0.8 lies at about ten bits of 64, where no such search is both whole and cheap, so classes that the
+fingerprints leave apart are searched by MinHash: 160 least hashes, dealt as 40 keys of four; classes that share a key and at least 88 of the 160 are
+candidates too. Of two texts whose similarity is 0.8, the keys miss 0.59 ** 40 < 1e-9 and the count less than 1e-11; above 0.8 less still.
 Candidates are gathered by their components, in which every pair not yet joined is verified; a component with more than `most`
 classes is gathered by its keys instead. A key or component gives a forest of its links, never all pairs.
 
@@ -18,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstline.llm import simhash
 from burstline.llm.common import buffers, chunks, mix, windows, word_hashes, words, written
 from burstline.llm.components import components
 
@@ -58,11 +61,11 @@ def _keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, t (a hash of the text), fp (of the set), size, keys and sketch (a byte of each least hash) of every row."""
+    """doc_id, t (a hash of the text), fp (of the set), size, sim (SimHash of the set), keys and sketch (a byte of each least hash) of every row."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    names = ["doc_id", "t", "fp", "size", "keys", "sketch"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["doc_id", "t", "fp", "size", "sim", "keys", "sketch"]
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -71,16 +74,17 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                 sets = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], n)
                 some = [k for k, s in enumerate(sets) if len(s)]
                 keys, sketch = [None] * len(sets), [None] * len(sets)
+                sims = np.asarray([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
                 if some:
                     least = _least([sets[k] for k in some])
                     for k, key, small in zip(some, _keys(least).view(np.int64), (least >> np.uint64(24)).astype(np.uint8), strict=True):
                         keys[k], sketch[k] = key, small.tobytes()
-                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), [_name(s) for s in sets], [len(s) for s in sets], keys, sketch]
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), [_name(s) for s in sets], [len(s) for s in sets], sims, keys, sketch]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, t long, fp long, size long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, t long, fp long, size long, sim long, keys array<long>, sketch binary")
 
 
 def _forest(count: int, near) -> list[tuple[int, int]]:
@@ -141,13 +145,20 @@ def _verify(n: int, similarity: float):
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
-    """Links (u, v) between the sets of classes (fp, t, size, keys, sketch) that join those reachable in steps of the similarity."""
+    """Links (u, v) between the sets of classes (fp, t, size, sim, keys, sketch) that join those reachable in steps of the similarity."""
+    # By fingerprints: classes of one are a star around the least of them, and stars within two bits are linked.
+    stars = written(classes.groupBy("sim").agg(F.min("fp").alias("one")), "stars")
+    same = classes.select("sim", "fp").join(stars, "sim").where("fp <> one").select(F.col("one").alias("u"), F.col("fp").alias("v"))
+    near = simhash.links(stars.select(F.col("sim").alias("fp")), most=most)
+    for end in ("u", "v"):
+        near = near.join(stars.select(F.col("sim").alias(end), F.col("one").alias(f"to_{end}")), end)
+    by_sim = same.unionByName(near.select(F.col("to_u").alias("u"), F.col("to_v").alias("v")))
     keys = classes.select(F.explode("keys").alias("key"), "fp")
     several = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key")
     shared = written(keys.join(several, "key"), "shared")
     with_sketch = shared.join(classes.select("fp", "sketch"), "fp")
     grouped = with_sketch.groupBy("key").agg(F.collect_list(F.struct("fp", "sketch")).alias("x")).select("x")
-    roots = components(grouped.mapInArrow(_candidates, "u long, v long")).withColumnRenamed("v", "fp")
+    roots = components(grouped.mapInArrow(_candidates, "u long, v long").unionByName(by_sim)).withColumnRenamed("v", "fp")
     roots = written(roots.join(classes.select("fp", "t"), "fp"), "candidates")
     large = roots.groupBy("root").count().where(F.col("count") > most).select("root")
     few = roots.join(large, "root", "left_anti").select(F.col("root").alias("g"), "fp", "t")
@@ -165,7 +176,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, most:
     rows = written(sketches(docs, n), "sketches")
     # Texts of one set have one sketch, so any of them stands for the class.
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("t").alias("t")), "classes")
-    one = rows.where("size > 0").select("fp", "t", "keys", "sketch").join(classes.select("fp", "t"), ["fp", "t"], "left_semi").dropDuplicates(["fp"])
+    one = rows.where("size > 0").select("fp", "t", "sim", "keys", "sketch").join(classes.select("fp", "t"), ["fp", "t"], "left_semi").dropDuplicates(["fp"])
     roots = components(links(docs, written(one, "sets"), n, similarity, most)).withColumnRenamed("v", "fp")
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -32,6 +32,14 @@ _RANDOM = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 REFERENCES = np.concatenate([np.asarray([0, *_PAIRS], np.uint64), _RANDOM])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are those that over half of the hashes have set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: bytes, n: int = 3, seed: int = 42) -> int:
     """Fingerprint of one UTF-8 text: majority bits of the XXH64 of its n-word shingles, repeats included."""
     import xxhash
@@ -47,10 +55,7 @@ def simhash(text: bytes, n: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.append(0, ends[:-1] + 1)[: len(words) - n + 1].tolist()
         hashes = np.fromiter([hashed(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
@@ -133,7 +138,8 @@ def links(distinct: DataFrame, radius: int = 2, most: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     keys = distinct.mapInArrow(keyed, "key long, fp long")
-    size = keys.groupBy("key").count().where("count > 1")
+    # Written, so that both sides of the join are plain exchanges and the rows of a dense key can be split among tasks.
+    size = written(keys.groupBy("key").count().where("count > 1"), "sizes")
     sized = keys.join(size, "key")
     few = sized.where(F.col("count") <= most).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = few.select("fps").mapInArrow(forest, "u long, v long").distinct()

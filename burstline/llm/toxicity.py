@@ -50,6 +50,10 @@ class Lexicon:
         hit = np.flatnonzero(self.hashes[at] == hashes)
         return hit, at[hit]
 
+    def is_spelled(self, letters: bytes) -> bool:
+        """Whether letters that stood apart hold a word of the lexicon of four letters or more."""
+        return any(w in letters for w in self.weights if len(w) >= 4)
+
     def is_masked(self, word: bytes) -> bool:
         """Whether a word is in the lexicon once look-alike marks are letters, or marks are left out, or repeated letters single."""
         bare = word.translate(None, b"0123456789@$*!|+#.,;:_-'\"()?")
@@ -96,6 +100,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarr
     np.maximum.at(x[:, 8], of, np.where(gap < 1000, 1 / (1 + gap), 0))
     # Obfuscation: marks inside words, letters spaced out, letters drawn out. Such words are few and looked at one by one.
     odd: list[tuple[int, bytes]] = []
+    spelled: list[tuple[int, bytes]] = []
     inner = np.flatnonzero(_MASKS[raw[:-1]] & letter[1:]) if len(raw) else np.zeros(0, np.int64)
     if len(inner):
         s, e, f = words(raw, offsets)
@@ -105,15 +110,19 @@ def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarr
     single = ends - starts == 1
     edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
     for a, b in edge.reshape(-1, 2).tolist():
-        if b - a >= 4 and b - a < 40 and doc[a] == doc[b - 1] and ends[b - 1] - starts[a] <= 2 * (b - a):
-            odd.append((int(doc[a]), low[starts[a:b]].tobytes()))
+        # Letters with one byte between them; a wider gap, or the next text, begins another run.
+        cuts = np.flatnonzero((starts[a + 1 : b] - ends[a : b - 1] > 1) | (doc[a + 1 : b] != doc[a : b - 1])) + a + 1
+        for i, j in zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True):
+            if j - i >= 4:
+                spelled.append((int(doc[i]), low[starts[i:j]].tobytes()))
     drawn = np.flatnonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & letter[2:]) if len(raw) > 2 else np.zeros(0, np.int64)
     k = np.unique(np.searchsorted(starts, drawn, side="right") - 1)
     k = k[k >= 0]
     x[:, 13] = per(doc[k]) / every
     odd += zip(doc[k].tolist(), [low[a:b].tobytes() for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)], strict=True)
-    x[:, 12] = per(np.asarray([d for d, _ in odd], np.int64)) / every
-    masked = per(np.asarray([d for d, w in odd if lexicon.is_masked(w)], np.int64))
+    x[:, 12] = per(np.asarray([d for d, _ in odd + spelled], np.int64)) / every
+    found = [d for d, w in odd if lexicon.is_masked(w)] + [d for d, w in spelled if lexicon.is_spelled(w)]
+    masked = per(np.asarray(found, np.int64))
     x[:, 10], x[:, 11] = np.log1p(masked), masked / every
     upper, lower, shouts, asks, symbols, rest = (np.diff(np.searchsorted(np.flatnonzero(c[raw]), offsets)) for c in _CLASSES)
     capital = _CLASSES[0][raw]
@@ -202,12 +211,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs, in all its columns, without rows that score `limit` or more."""
+    text = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([batch.schema.field(c) for c in range(batch.num_columns - 1)]))
-            yield rest.filter(pa.array(model.score(*buffers(batch.column(batch.num_columns - 1))) < limit))
+            yield batch.filter(pa.array(model.score(*buffers(batch.column(text))) < limit))
 
-    return docs.select("*", F.col("text").cast("string").alias("__judged")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -78,8 +78,77 @@ def test_attention_gradients():
     draw = rng(5)
     x, begin, y = draw.normal(size=(40, 5)), np.array([0, 7, 8, 20, 40]), np.array([1.0, 0, 1, 0])
     model = quality.Attention(0.5, 6, 4)
-    model.fit(x, begin, y, steps=300)
+    model.fit(x, begin, y, rounds=300)
     assert ((model.score(x, begin) > 0.5) == y).all()
+    # Against differences of the loss.
+    for k, g in model.gradients(x, begin, y).items():
+        for at in ([()] if g.ndim == 0 else [(0,) * g.ndim, tuple(n - 1 for n in g.shape)]):
+            kept, losses = model.weights[k], []
+            for by in (1e-5, -1e-5):
+                model.weights[k] = np.array(kept, float)
+                model.weights[k][at] += by
+                losses.append(model.loss(x, begin, y))
+            model.weights[k] = kept
+            assert abs((losses[0] - losses[1]) / 2e-5 - g[at]) < 1e-4
+
+
+def test_attention_against_a_loop():
+    """Scores of each document, passage by passage."""
+    draw = rng(6)
+    x, begin, y = draw.normal(size=(60, 5)), np.array([0, 1, 9, 30, 60]), np.array([1.0, 0, 1, 0])
+    model = quality.Attention(0.5, 6, 4).fit(x, begin, y, rounds=5)
+    w, want = model.weights, []
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        encoded, gates = [], []
+        for row in x[a:b]:
+            h = np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ w["e"] + w["eb"])
+            encoded.append(h)
+            gates.append(float(np.sum(np.tanh(h @ w["v"]) / (1 + np.exp(-(h @ w["u"]))) * w["a"])))
+        weight = np.exp(gates) / np.exp(gates).sum()
+        want.append(1 / (1 + np.exp(-(sum(g * h for g, h in zip(weight, encoded, strict=True)) @ w["c"] + w["cb"]))))
+    assert np.allclose(model.score(x, begin), want)
+
+
+def test_trees_against_a_loop():
+    """The first tree's first split has the greatest gain of all cuts, found one by one; margins are sums over the trees, row by row."""
+    draw = rng(9)
+    x = draw.normal(size=(300, 4)).round(1)
+    y = (x[:, 2] + 0.3 * draw.normal(size=300) > 0.2).astype(float)
+    trees = models.BoostedTrees(5)
+    trees.fit(x, y)
+    p = models.sigmoid(np.full(300, trees.base))
+    g, h = y - p, p * (1 - p)
+
+    def gain(f, c):
+        left = x[:, f] <= c
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + trees.l2)
+        return part(left) + part(~left) - part(left | ~left) if min(h[left].sum(), h[~left].sum()) >= trees.least else -1.0
+
+    best = max(((gain(f, c), f, c) for f in range(4) for c in trees.cuts[f]), key=lambda z: z[0])
+    feature, cut = trees.trees[0][0][0]
+    assert (feature[0], cut[0]) == best[1:]
+    want = []
+    for row in x:
+        total = trees.base
+        for splits, value in trees.trees:
+            node = 0
+            for feature, cut in splits:
+                node = 2 * node + int(feature[node] >= 0 and row[feature[node]] > cut[node])
+            total += value[node]
+        want.append(total)
+    assert np.allclose(trees.margin(x), want)
+
+
+@pytest.mark.parametrize("n", [4, 39, 40, 41, 500])
+def test_letters_apart_of_any_length(n):
+    """A run of single letters is one obfuscation however long it is, and an insult in it is found."""
+    lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.INSULTS, 1.0))
+    filler = "qzx" * (n // 3 + 1)
+    plain, insult = " ".join(filler[:n]), " ".join("moron" + filler[:n])
+    raw = [f"{plain} word".encode(), f"{insult} word".encode(), b"a word of no letters"]
+    x = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), lexicon)
+    assert np.allclose(x[:2, 12], [1 / (n + 1), 1 / (n + 6)]) and x[2, 12] == 0
+    assert x[0, 10] == 0 and x[1, 10] > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

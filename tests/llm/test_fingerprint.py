@@ -62,3 +62,47 @@ def test_likeness_of_very_long_texts(spark):
     own = df.select("i", fp.fingerprint(F.col("a")).alias("a"), fp.fingerprint(F.col("b")).alias("b"))
     got = [r[1] for r in own.select("i", fp.likeness(F.col("a"), F.col("b"))).orderBy("i").collect()]
     assert abs(got[0] - 0.5) < 0.25 and got[1] < 0.3 and got[2] < 0.3
+
+
+def exact(a, b):
+    """Likeness by the multisets of pairs themselves."""
+    from collections import Counter
+
+    def pairs(text):
+        lines = [[w for w in line.split(" ") if w] for line in text.split("\n")]
+        return Counter(p for own in lines for p in zip(own, [*own[1:], None], strict=True))
+
+    one, two = pairs(a), pairs(b)
+    return 1.0 if a == b else 2 * sum((one & two).values()) / max(1, sum(one.values()) + sum(two.values()))
+
+
+def test_likeness_against_the_multisets(spark):
+    draw = rng(31)
+    made = []
+    for i in range(120):
+        lines = [words(draw, int(n), 3000) for n in draw.integers(1, (20, 120, 700, 3000)[i % 4], 3)]
+        other = [[w for w in own if draw.random() > 0.15 * (i % 3)] for own in lines[: 1 + i % 3]] + [words(draw, 30, 3000)] * (i % 2)
+        made.append(tuple("\n".join(" ".join(own) for own in x) for x in (lines, other)))
+    got = [r[0] for r in spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "i int, a string, b string").select("i", fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("x")).orderBy("i").select("x").collect()]
+    apart = [abs(g - exact(*m)) for g, m in zip(got, made, strict=True)]
+    assert sum(apart) / len(apart) < 0.06 and max(apart) < 0.35
+
+
+def test_a_word_put_in_shifts_nothing(spark):
+    draw = rng(32)
+    base = words(draw, 3000, 10**6)
+    moved = ["new", *base[:1500], "word", *base[1500:]]
+    df = spark.createDataFrame([(" ".join(base), " ".join(moved)), (" ".join(base[:100]), " ".join(["new", *base[:100]]))], "a string, b string")
+    assert all(r[0] > 0.93 for r in df.select(fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b")))).collect())
+
+
+def test_lanes_have_seeds_of_their_own(spark):
+    """Lane i is XXH64 of the paragraph, seeded by the hash of i: equal values in one lane say nothing about the others."""
+    import struct
+
+    import xxhash
+
+    seeds = [xxhash.xxh64_intdigest(struct.pack("<i", i), 42) for i in range(4)]
+    for text in ("a paragraph", "é", "x" * 1000):
+        (own,) = one(spark, text)
+        assert own[:4] == [xxhash.xxh64_intdigest(text.encode(), s) & (1 << 56) - 1 for s in seeds]
