@@ -110,13 +110,18 @@ def convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return full[(k - 1) // 2 : (k - 1) // 2 + n]
 
 
-def zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """The filter forward and backward over the signal reflected oddly by three lengths at each end: one symmetric kernel."""
+def zero_phase(x: np.ndarray, taps: np.ndarray, begins: bool = True, ends: bool = True) -> np.ndarray:
+    """The filter forward and backward over the signal reflected oddly by three lengths at each end: one symmetric kernel.
+
+    Where x is a part of a signal that doesn't begin or end with it there is no reflection, and the values next to that side, within a kernel's length, are of no use.
+    """
     pad = 3 * len(taps)
-    if len(x) <= pad:
+    if begins and ends and len(x) <= pad:
         raise ValueError(f"{len(x)} samples are too few for {len(taps)} taps: more than {pad} are needed")
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    return convolve(wide, np.convolve(taps, taps[::-1]))[pad : pad + len(x)]
+    reach = min(pad, len(x) - 1)
+    before = 2 * x[0] - x[reach:0:-1] if begins else x[:0]
+    after = 2 * x[-1] - x[-2 : -reach - 2 : -1] if ends else x[:0]
+    return convolve(np.concatenate([before, x, after]), np.convolve(taps, taps[::-1]))[len(before) : len(before) + len(x)]
 
 
 def fast_length(n: int) -> int:

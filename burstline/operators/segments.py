@@ -63,6 +63,20 @@ def threshold(df: DataFrame, z: str = "z", minimum_duration: float = 0.015, zsco
     return extend_to_mean(df, F.col(z) >= 0, F.col(z) >= F.lit(float(zscore_threshold)), minimum_duration, keys)
 
 
+def mark_events(df: DataFrame, z: str = "z", minimum_duration: float = 0.015, zscore_threshold: float = 2.0, keys=SESSION) -> DataFrame:
+    """As threshold(), on the rows: df with `ends`, at the first sample of each event the index of its last one, else null."""
+    if zscore_threshold < 0:
+        raise ValueError("zscore_threshold must not be negative")
+    outer = with_runs(df.withColumn("__high", F.col(z) >= F.lit(float(zscore_threshold))), F.col(z) >= 0, "__outer", keys)
+    inner = with_runs(outer, F.col("__high") & F.col("__outer").isNotNull(), "__inner", keys)
+    part, run = Window.partitionBy(*keys, "__outer", "__inner"), Window.partitionBy(*keys, "__outer")
+    enough = F.col("__inner").isNotNull() & long_enough(F.min("t").over(part), F.max("t").over(part), minimum_duration)
+    rows = inner.withColumn("__enough", enough)
+    passes = F.col("__outer").isNotNull() & F.max("__enough").over(run) & long_enough(F.min("t").over(run), F.max("t").over(run), minimum_duration)
+    first = F.col("sample_idx") == F.min("sample_idx").over(run)
+    return rows.withColumn("ends", F.when(passes & first, F.max("sample_idx").over(run))).drop("__high", "__outer", "__inner", "__enough")
+
+
 def containing_interval(candidates: DataFrame, targets: DataFrame, keys=SESSION) -> DataFrame:
     """For each target the last candidate that does not start after it (its end is not looked at): an as-of join by a sweep."""
     left = candidates.select(*keys, F.col("start_time").alias("__at"), F.lit(0).alias("__kind"), F.struct("start_time", "end_time").alias("__c"), F.lit(None).cast("double").alias("__end"))

@@ -1,11 +1,11 @@
-"""Checks of inputs. Those of schemas are made at plan time; those of values run a job each and can be left out."""
+"""Checks of inputs. Those of schemas are made at plan time; those of values run a job each; detectors make them unless told otherwise."""
 
 from __future__ import annotations
 
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -65,8 +65,17 @@ def check_speed_units(position: DataFrame, speed_threshold: float) -> None:
 
 
 def check_lengths(samples: DataFrame, taps: int) -> None:
-    """Sessions must be longer than three kernels."""
-    full = samples.where("x is not null and not isnan(x)").groupBy("session_id", "channel_id").count()
-    short = full.where(F.col("count") <= 3 * taps).limit(1).collect()
+    """Sessions must have more than three kernels' lengths of instants that are complete in all their channels."""
+    values = F.count_if(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
+    instants = samples.groupBy("session_id", "sample_idx").agg(values.alias("n"))
+    channels = samples.groupBy("session_id").agg(F.size(F.collect_set("channel_id")).alias("channels"))
+    full = instants.join(channels, "session_id").groupBy("session_id").agg(F.count_if(F.col("n") == F.col("channels")).alias("n"))
+    short = full.where(F.col("n") <= 3 * taps).limit(1).collect()
     if short:
-        raise ValueError(f"session {short[0].session_id}: {short[0]['count']} samples; a kernel of {taps} taps needs more than {3 * taps}")
+        raise ValueError(f"session {short[0].session_id}: {short[0].n} samples; a kernel of {taps} taps needs more than {3 * taps}")
+
+
+def check_baseline(rows: DataFrame, picked: Column | None, keys=("session_id",)) -> None:
+    """Every group of keys must have a row that the baseline picks."""
+    if picked is not None and not rows.groupBy(*keys).agg(F.count_if(picked).alias("n")).where("n = 0").isEmpty():
+        raise ValueError("the normalization range or mask picks no samples")

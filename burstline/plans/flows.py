@@ -65,11 +65,11 @@ def summarise(stats: DataFrame) -> DataFrame:
 
 
 def detect(samples: DataFrame, position: DataFrame, sampling_frequency: float, detector: str = "consensus", filtered: bool = False, **options) -> DataFrame:
-    """The whole chain: band-pass unless filtered, then a detector by name (consensus, mean_envelope, channel)."""
+    """The whole chain: band-pass unless filtered, then a detector by name (consensus, mean_envelope, channel); checked=False leaves the checks of both out."""
     found = {"consensus": detectors.consensus_detector, "mean_envelope": detectors.mean_envelope_detector, "channel": detectors.channel_detector}
     if detector not in found:
         raise ValueError(f"unknown detector {detector!r}: use one of {', '.join(found)}")
-    data = samples if filtered else signals.band_pass(samples, sampling_frequency=sampling_frequency)
+    data = samples if filtered else signals.band_pass(samples, sampling_frequency=sampling_frequency, checked=options.get("checked", True))
     return found[detector](data, position, sampling_frequency, **options)
 
 

@@ -6,10 +6,11 @@ Signals come from `events`: a session is one of four groups of users, a channel
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstline.functions import kernels
@@ -50,9 +51,13 @@ def _complete(spark, sf_dir):
     return signals.drop_incomplete(samples(spark, sf_dir), position(spark, sf_dir))
 
 
+#: Means of values of few digits, which often lie just between two roundings.
+_FINE = {"mean_speed": 9, "median_speed": 9}
+
+
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     """Doubles to so many digits; a zero has no sign."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    return df.select(*((F.round(c, _FINE.get(c, digits)) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def _scored(spark, sf_dir):
@@ -81,7 +86,7 @@ complete AS (SELECT s.*, p.speed FROM samples s JOIN position p USING (session_i
 
 
 def _r(columns: str, source: str, digits: int = 5, plain: str = "") -> str:
-    rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns.split())
+    rounded = ", ".join(f"round({c}, {_FINE.get(c, digits)}) + 0.0 AS {c}" for c in columns.split())
     return f"SELECT {', '.join(x for x in (plain, rounded) if x)} FROM {source}"
 
 
@@ -218,24 +223,58 @@ def population_rate(spark, sf_dir):
     return _rounded(signals.population_rate(spikes(spark, sf_dir), position(spark, sf_dir), FS, SIGMA), 4).select("session_id", "sample_idx", "x")
 
 
-_AUTO = np.convolve(SHORT_TAPS, SHORT_TAPS[::-1])
-_PAD = 3 * len(SHORT_TAPS)
+def _band(taps: np.ndarray, source: str, name: str = "filtered") -> str:
+    """Rows of `source` (session_id, channel_id, sample_idx from 0, t, x) filtered forward and backward, reflected oddly at both ends."""
+    pad, both = 3 * len(taps), [float(w) for w in np.convolve(taps, taps[::-1])]
+    on = "f.session_id = c.session_id AND f.channel_id = c.channel_id"
+    return f"""n AS (SELECT session_id, channel_id, max(sample_idx) AS last FROM {source} GROUP BY ALL),
+    padded AS (SELECT session_id, channel_id, sample_idx, x FROM {source} UNION ALL
+        SELECT c.session_id, c.channel_id, -c.sample_idx, 2 * f.x - c.x FROM {source} c JOIN {source} f ON {on} AND f.sample_idx = 0 WHERE c.sample_idx BETWEEN 1 AND {pad} UNION ALL
+        SELECT c.session_id, c.channel_id, 2 * last - c.sample_idx, 2 * f.x - c.x FROM {source} c JOIN n USING (session_id, channel_id) JOIN {source} f ON {on} AND f.sample_idx = last WHERE c.sample_idx BETWEEN last - {pad} AND last - 1),
+    kernel AS (SELECT unnest(range({-len(taps) + 1}, {len(taps)})) AS o, unnest({both}) AS w),
+    {name} AS (SELECT c.session_id, c.channel_id, c.sample_idx, any_value(c.t) AS t, sum(p.x * w) AS x FROM {source} c JOIN kernel ON true JOIN padded p ON p.session_id = c.session_id AND p.channel_id = c.channel_id AND p.sample_idx = c.sample_idx + o GROUP BY ALL)"""
 
 
-@_register(
-    _with(
-        "n AS (SELECT session_id, channel_id, max(sample_idx) AS last FROM complete GROUP BY ALL)",
-        f"""padded AS (SELECT session_id, channel_id, sample_idx, x FROM complete UNION ALL
-            SELECT c.session_id, c.channel_id, -c.sample_idx, 2 * f.x - c.x FROM complete c JOIN complete f ON f.session_id = c.session_id AND f.channel_id = c.channel_id AND f.sample_idx = 0 WHERE c.sample_idx BETWEEN 1 AND {_PAD} UNION ALL
-            SELECT c.session_id, c.channel_id, 2 * last - c.sample_idx, 2 * f.x - c.x FROM complete c JOIN n USING (session_id, channel_id) JOIN complete f ON f.session_id = c.session_id AND f.channel_id = c.channel_id AND f.sample_idx = last WHERE c.sample_idx BETWEEN last - {_PAD} AND last - 1)""",
-        f"kernel AS (SELECT unnest(range({-len(SHORT_TAPS) + 1}, {len(SHORT_TAPS)})) AS o, unnest({[float(w) for w in _AUTO]}) AS w)",
-        "filtered AS (SELECT c.session_id, c.channel_id, c.sample_idx, sum(p.x * w) AS x FROM complete c JOIN kernel ON true JOIN padded p ON p.session_id = c.session_id AND p.channel_id = c.channel_id AND p.sample_idx = c.sample_idx + o GROUP BY ALL)",
-        _r("x", "filtered", 5, "session_id, channel_id, sample_idx"),
-    )
-)
+@_register(_with(_band(SHORT_TAPS, "complete"), _r("x", "filtered", 5, "session_id, channel_id, sample_idx")))
 def band_pass(spark, sf_dir):
     complete = _complete(spark, sf_dir).select("session_id", "channel_id", "sample_idx", "t", "x")
-    return _rounded(signals.band_pass(complete, SHORT_TAPS)).select("session_id", "channel_id", "sample_idx", "x")
+    return _rounded(signals.band_pass(complete, SHORT_TAPS, checked=False)).select("session_id", "channel_id", "sample_idx", "x")
+
+
+@_register(_with(_band(SHORT_TAPS, "complete"), _r("x", "filtered", 5, "session_id, channel_id, sample_idx")))
+def band_pass_blocks(spark, sf_dir):
+    """The same in blocks of 64 samples."""
+    complete = _complete(spark, sf_dir).select("session_id", "channel_id", "sample_idx", "t", "x")
+    return _rounded(signals.band_pass(complete, SHORT_TAPS, checked=False, block=64)).select("session_id", "channel_id", "sample_idx", "x")
+
+
+@_register(_with(_smooth("smooth", "samples", "session_id channel_id", SIGMA), _r("x", "smooth", 5, "session_id, channel_id, sample_idx")))
+def smooth_blocks(spark, sf_dir):
+    return _rounded(signals.gaussian_smooth(samples(spark, sf_dir), SIGMA, FS, block=64)).select("session_id", "channel_id", "sample_idx", "x")
+
+
+def _responses(spark, taps, edge: int, within: float) -> DataFrame:
+    """Whether a kernel passes or stops each frequency in steps of 5 Hz that is not within `edge` Hz beside the band."""
+    parts = spark.createDataFrame([(i, float(w)) for i, w in enumerate(taps)], "i int, w double")
+    angle = F.lit(2 * np.pi / FS) * F.col("frequency") * F.col("i")
+    asked = spark.range(0, 751, 5).withColumnRenamed("id", "frequency").where(f"frequency between 150 and 250 or frequency <= {150 - edge} or frequency >= {250 + edge}")
+    sums = asked.crossJoin(F.broadcast(parts)).groupBy("frequency").agg(F.sum(F.col("w") * F.cos(angle)).alias("a"), F.sum(F.col("w") * F.sin(angle)).alias("b"))
+    gain = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    return sums.select("frequency", F.when(F.abs(gain - 1) < within, "pass").when(gain < within, "stop").otherwise("neither").alias("band"))
+
+
+def _bands(edge: int) -> str:
+    return f"SELECT f AS frequency, CASE WHEN f BETWEEN 150 AND 250 THEN 'pass' ELSE 'stop' END AS band FROM range(0, 751, 5) r(f) WHERE f BETWEEN 150 AND 250 OR f <= {150 - edge} OR f >= {250 + edge}"
+
+
+@_register(_bands(10))
+def packaged_kernel(spark, sf_dir):
+    return _responses(spark, kernels.packaged_kernel(), 10, 0.02)
+
+
+@_register(_bands(25))
+def bandpass_taps(spark, sf_dir):
+    return _responses(spark, kernels.bandpass_taps(FS), 25, 0.1)
 
 
 @_register(_with(_ENVELOPE, _r("x", "enveloped", 5, "session_id, channel_id, sample_idx")))
@@ -385,7 +424,8 @@ def max_threshold(spark, sf_dir):
     return _rounded(found.select("session_id", "event_number", "max_thresh"))
 
 
-_LIMITS = {"speed_threshold": SPEED, "minimum_duration": SHORT, "zscore_threshold": THRESHOLD, "smoothing_sigma": SIGMA, "close_event_threshold": GAP}
+# Channels of these sessions differ in length, which the checks would not let pass.
+_LIMITS = {"checked": False, "speed_threshold": SPEED, "minimum_duration": SHORT, "zscore_threshold": THRESHOLD, "smoothing_sigma": SIGMA, "close_event_threshold": GAP}
 _EVENT = _r(_STAT, "event_stats", 5, "session_id, event_number")
 _TAIL = (_z(), _found(str(THRESHOLD), SHORT), _excluded())
 
@@ -399,6 +439,46 @@ def synchrony_events(spark, sf_dir):
     return _rounded(_synchrony(spark, sf_dir))
 
 
+def _z_picked(condition: str, keys: str = "session_id", source: str = "trace") -> str:
+    f = f"FILTER (WHERE {condition}) OVER (PARTITION BY {', '.join(keys.split())})"
+    return f"scored AS (SELECT *, (x - avg(x) {f}) / stddev_pop(x) {f} AS z FROM {source})"
+
+
+def _z_mad(keys: str = "session_id", source: str = "trace", condition: str = "true") -> str:
+    k = ", ".join(keys.split())
+    return f"""mid AS (SELECT {k}, quantile_cont(x, 0.5) FILTER (WHERE {condition}) AS c FROM {source} GROUP BY {k}),
+apart AS (SELECT {k}, any_value(c) AS c, quantile_cont(abs(x - c), 0.5) FILTER (WHERE {condition}) / 0.6744897501960817 AS s FROM {source} JOIN mid USING ({k}) GROUP BY {k}),
+scored AS (SELECT {source}.*, (x - c) / s AS z FROM {source} JOIN apart USING ({k}))"""
+
+
+_FOUND = (_found(str(THRESHOLD), SHORT), _excluded())
+
+
+@_register(_with(_ENVELOPE, _CONSENSUS.format(source="enveloped"), _z_picked("speed < 4"), *_FOUND, _stats("kept", "scored", SHORT), _EVENT))
+def consensus_events_masked(spark, sf_dir):
+    """On the baseline of slow samples."""
+    still = flows.immobile(position(spark, sf_dir))
+    return _rounded(detectors.consensus_detector(samples(spark, sf_dir), still, FS, normalization_mask="immobile", **_LIMITS))
+
+
+@_register(_with(_ENVELOPE, _SQUARED, _z_picked("t BETWEEN 0.0 AND 0.1"), *_FOUND, _stats("kept", "scored", SHORT), _EVENT))
+def mean_envelope_events_time_range(spark, sf_dir):
+    return _rounded(detectors.mean_envelope_detector(samples(spark, sf_dir), position(spark, sf_dir), FS, normalization_time_range=(0.0, 0.1), **_LIMITS))
+
+
+@_register(_with(_RATE, _z_mad(), *_FOUND, _stats("kept", "scored", 0.015), _EVENT))
+def synchrony_events_median_mad(spark, sf_dir):
+    return _rounded(detectors.synchrony_detector(spikes(spark, sf_dir), position(spark, sf_dir), FS, normalization_method="median_mad", **_LIMITS))
+
+
+@_register(_with(_RATE, _z_picked(f"coalesce(speed < {SPEED}, false)"), *_FOUND, _stats("kept", "scored", 0.015), _EVENT))
+def synchrony_events_slow(spark, sf_dir):
+    """By the deprecated argument, which is a mask of slow samples."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        return _rounded(detectors.synchrony_detector(spikes(spark, sf_dir), position(spark, sf_dir), FS, use_speed_threshold_for_zscore=True, **_LIMITS))
+
+
 @_register(_with(_ENVELOPE, _CONSENSUS.format(source="enveloped"), *_TAIL, _stats("kept", "scored", SHORT), _EVENT))
 def consensus_events(spark, sf_dir):
     return _rounded(detectors.consensus_detector(samples(spark, sf_dir), position(spark, sf_dir), FS, **_LIMITS))
@@ -425,6 +505,11 @@ def channel_events(spark, sf_dir):
     return _rounded(detectors.channel_detector(samples(spark, sf_dir), position(spark, sf_dir), FS, **_LIMITS | {"zscore_threshold": 2.0}))
 
 
+@_register(_with(_ENVELOPE, _CHANNELS, _z_mad("session_id channel_id", "smoothed"), _found("2.0", SHORT, "session_id channel_id").replace("found AS", "channel_found AS"), _MERGED, _excluded("mean"), _stats("kept", "mean", 0.015), _EVENT))
+def channel_events_median_mad(spark, sf_dir):
+    return _rounded(detectors.channel_detector(samples(spark, sf_dir), position(spark, sf_dir), FS, normalization_method="median_mad", **_LIMITS | {"zscore_threshold": 2.0}))
+
+
 @_register(_with(_RATE, *_TAIL, _stats("kept", "scored", 0.015), "SELECT count(*) AS n_events, round(avg(duration), 6) AS mean_duration, round(stddev_samp(duration), 6) AS std_duration, round(avg(mean_zscore), 6) AS mean_zscore, round(max(max_zscore), 6) AS max_zscore, round(min(max_thresh), 6) AS min_max_thresh, round(avg(mean_speed), 6) AS mean_speed FROM event_stats"))
 def event_summary(spark, sf_dir):
     return _rounded(flows.summarise(_synchrony(spark, sf_dir)), 6)
@@ -483,12 +568,36 @@ def power_normalize(spark, sf_dir):
     return _rounded(simulate.normalize_power(samples(spark, sf_dir), keys=signals.CHANNEL), 6).select("session_id", "channel_id", "sample_idx", "x")
 
 
-@_register()
+def _burst(c: float) -> str:
+    return f"exp(-0.5 * pow((t - {c}) / (0.1 / 6), 2)) / max(exp(-0.5 * pow((t - {c}) / (0.1 / 6), 2))) OVER ()"
+
+
+_MADE = f"""grid AS (SELECT '0' AS session_id, 0 AS channel_id, i AS sample_idx, i / 1500.0 AS t FROM range(4500) r(i)),
+made AS (SELECT *, 1.5 * sin(2 * pi() * 200 * t) * ({_burst(1.1)} + {_burst(2.1)}) + 0.4 * sin(2 * pi() * 60 * t) + 0.05 * sin(2 * pi() * 190 * t) AS x FROM grid)"""
+
+
+@_register("WITH " + ",\n".join((_MADE, _band(kernels.packaged_kernel(), "made", "passed"), "complete AS (SELECT passed.*, 1.0 AS speed FROM passed)", _ENVELOPE, _CONSENSUS.format(source="enveloped"), _z(), _found("2.0", 0.015),
+    "still AS (SELECT * FROM found), kept AS (SELECT * FROM still)", _stats("kept", "scored", 0.015))) + "\n" + _r(_STAT, "event_stats", 4, "session_id, event_number"))
 def simulated_detection(spark, sf_dir):
-    """Simulated bursts through the whole chain; noise can't be written in SQL."""
+    """Simulated bursts in two sines through the whole chain: band-pass by the packaged kernel, envelope, consensus, events."""
     grid = tables.time_grid(spark, 4500, FS)
-    made = simulate.simulate(grid, [1.1, 2.1], 3.0, noise_type="brown", noise_amplitude=0.5, seed=3).withColumn("channel_id", F.lit(0))
-    return _rounded(flows.detect(made, grid.withColumn("speed", F.lit(1.0)), FS))
+    hum = F.lit(0.4) * F.sin(F.lit(2 * np.pi * 60) * F.col("t")) + F.lit(0.05) * F.sin(F.lit(2 * np.pi * 190) * F.col("t"))
+    made = simulate.waveform(grid, [1.1, 2.1], 3.0).withColumn("x", F.col("x") + hum).withColumn("channel_id", F.lit(0))
+    return _rounded(flows.detect(made, grid.withColumn("speed", F.lit(1.0)), FS), 4)
+
+
+@_register("WITH " + _MADE + " SELECT kind, CAST(4500 AS BIGINT) AS n, 1.0 AS mean_square, true AS falls FROM (VALUES ('pink'), ('brown')) v(kind) UNION ALL SELECT 'white', 4500, 1.0, false")
+def noise_spectra(spark, sf_dir):
+    """Noise of each kind: its length, its mean square (of white noise to the nearest whole number) and whether its steps are far smaller than itself."""
+    grid, out = tables.time_grid(spark, 4500, FS), None
+    for kind in simulate.NOISES:
+        step = F.col("x") - F.lag("x").over(Window.partitionBy("session_id").orderBy("sample_idx"))
+        rows = simulate.noise(grid, kind, seed=5).withColumn("step", step)
+        one = rows.agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("x")).alias("power"), F.avg(F.col("step") * F.col("step")).alias("steps"))
+        digits = 0 if kind == "white" else 9
+        one = one.select(F.lit(kind).alias("kind"), "n", F.round("power", digits).alias("mean_square"), (F.col("steps") < F.col("power")).alias("falls"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @_register(_with(_ENVELOPE.replace("FROM complete", "FROM samples").replace("JOIN complete b", "JOIN samples b").replace("FROM samples a", "FROM samples a"), f"""hi AS (SELECT *, x >= 100 AND NOT coalesce(lag(x >= 100) OVER (PARTITION BY session_id, channel_id ORDER BY sample_idx), false) AS s FROM enveloped),

@@ -157,6 +157,114 @@ def test_simulation(spark):
     assert simulate.normalize_power(grid.withColumn("x", F.lit(0.0))).where("x is not null").count() == 0
 
 
+DETECTORS = {"consensus": detectors.consensus_detector, "mean_envelope": detectors.mean_envelope_detector, "channel": detectors.channel_detector}
+
+
+@pytest.mark.parametrize("name", list(DETECTORS))
+def test_detectors_check_what_they_are_given(spark, signal, name):
+    samples, position = signal
+    find = DETECTORS[name]
+    with pytest.raises(ValueError, match="different instants"):
+        find(samples, position.where("sample_idx > 3"), FS)
+    with pytest.raises(ValueError, match="other units"):
+        find(samples.withColumn("t", F.col("t") * 1000), position, FS)
+    with pytest.raises(ValueError, match="no samples"):
+        find(samples, position, FS, normalization_time_range=(50, 60))
+    with pytest.raises(ValueError, match="no samples"):
+        find(samples, position.withColumn("none", F.lit(False)), FS, normalization_mask="none")
+    with pytest.raises(ValueError, match="not both"):
+        find(samples, position, FS, normalization_mask="m", normalization_time_range=(0, 1))
+    with pytest.warns(UserWarning, match="cm/s"):
+        find(samples, position.withColumn("speed", F.lit(0.02)), FS)
+    assert find(samples, position.where("sample_idx > 3"), FS, checked=False).count() >= 0
+    assert find(samples, position, FS, normalization_time_range=(0.0, 0.9), zscore_threshold=5.0).count() == 2
+
+
+def test_synchrony_checks_what_it_is_given(spark):
+    position = tables.position_from_arrays(spark, np.arange(300) / FS, np.full(300, 2.0))
+    spikes = tables.spikes_from_arrays(spark, np.ones((300, 1)))
+    with pytest.raises(ValueError, match="no samples"):
+        detectors.synchrony_detector(spikes, position, FS, normalization_time_range=(50, 60))
+    with pytest.raises(ValueError, match="other units"):
+        detectors.synchrony_detector(spikes, position.withColumn("t", F.col("t") * 1000), FS)
+    assert detectors.synchrony_detector(spikes, position, FS, normalization_time_range=(50, 60), checked=False).count() == 0
+
+
+def test_short_sessions_are_found_on_the_driver(spark):
+    rng = np.random.default_rng(3)
+    long = tables.samples_from_arrays(spark, np.arange(1200) / FS, rng.standard_normal(1200), "long")
+    short = tables.samples_from_arrays(spark, np.arange(1200) / FS, np.where(np.arange(1200) < 500, np.nan, rng.standard_normal(1200)), "short")
+    both = long.unionByName(short)
+    with pytest.raises(ValueError, match="session short: 700 samples"):
+        signals.band_pass(both)
+    with pytest.raises(ValueError, match="more than"):
+        flows.detect(both, both.select("session_id", "sample_idx", "t", F.lit(1.0).alias("speed")), FS)
+
+
+@pytest.mark.parametrize(("name", "passes"), [("consensus", 2), ("mean_envelope", 1), ("channel", 1)])
+def test_a_detector_makes_its_trace_once(spark, signal, name, passes):
+    out = DETECTORS[name](*signal, FS, checked=False)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FlatMapGroupsInArrow") == passes
+    assert plan.count("Exchange hashpartitioning") < 20 and "CartesianProduct" not in plan
+
+
+def test_blocks_of_a_long_channel(spark):
+    """Two million samples in blocks, against the whole at once."""
+    n = 2_000_000
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(n)
+    samples = tables.samples_from_arrays(spark, np.arange(n) / FS, x)
+    taps = kernels.packaged_kernel()
+    out = signals.band_pass(samples, checked=False).select("sample_idx", "x").toPandas().sort_values("sample_idx")
+    assert np.abs(out["x"].to_numpy() - kernels.zero_phase(x, taps)).max() < 1e-9
+    out = signals.gaussian_smooth(samples, 0.004, FS).select("sample_idx", "x").toPandas().sort_values("sample_idx")
+    assert np.abs(out["x"].to_numpy() - kernels.convolve(x, kernels.gaussian_kernel(0.004, FS))).max() < 1e-9
+
+
+@pytest.mark.parametrize("n", [1000, 1023, 1024, 1025, 1340, 1341, 2049])
+def test_blocks_of_any_length(spark, n):
+    """Channels that end within, at and just beyond a block and its neighbours."""
+    x = np.random.default_rng(n).standard_normal((n, 2))
+    samples = tables.samples_from_arrays(spark, np.arange(n) / FS, x)
+    taps = kernels.remez(51, [(0, 125), (150, 250), (275, 750)], [0, 1, 0], FS)
+    out = signals.band_pass(samples, taps, block=256).orderBy("channel_id", "sample_idx").collect()
+    got = np.array([r.x for r in out]).reshape(2, n)
+    for c in range(2):
+        assert np.allclose(got[c], kernels.zero_phase(x[:, c], taps), atol=1e-9)
+
+
+def test_places_are_numbered_through_blocks(spark):
+    rng = np.random.default_rng(2)
+    at = sorted(rng.choice(1000, 300, replace=False).tolist())
+    df = spark.createDataFrame([(s, i, c) for s in "ab" for i in at for c in (0, 1)], "session_id string, sample_idx long, channel_id int")
+    out = signals.numbered(df, block=64).collect()
+    assert len(out) == 1200 and all(at[r.dense_idx] == r.sample_idx for r in out)
+
+
+def test_events_that_overlap_or_touch_are_one(spark):
+    """Marked rows against the same events merged and measured one by one."""
+    from burstline.operators import segments as seg
+    from burstline.operators import stats
+
+    rng = np.random.default_rng(4)
+    n = 400
+    z, speed = np.round(rng.standard_normal(n), 3), np.round(rng.uniform(0, 6, n), 3)
+    pairs = {}
+    for a, d in zip(rng.integers(0, n - 30, 25).tolist(), rng.integers(0, 25, 25).tolist(), strict=True):
+        pairs[a] = max(pairs.get(a, 0), a + d)
+    rows_of = [("s", i, i / FS, float(z[i]), float(speed[i]), pairs.get(i)) for i in range(n)]
+    marked = spark.createDataFrame(rows_of, "session_id string, sample_idx long, t double, z double, speed double, ends long")
+    events = spark.createDataFrame([("s", a / FS, b / FS, a, b) for a, b in pairs.items()], "session_id string, start_time double, end_time double, start_idx long, end_idx long")
+    kept = seg.exclude_close(seg.exclude_movement(seg.merge_overlapping(events), marked, 4.0), 0.003)
+    want = rows(stats.event_stats(kept, marked, 0.002))
+    got = rows(stats.marked_events(marked, 4.0, 0.003, 0.002))
+    assert len(want) > 2 and len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
+
+
 def test_sources(spark, tmp_path):
     x = np.arange(12.0).reshape(4, 3)
     np.save(tmp_path / "x.npy", x)
