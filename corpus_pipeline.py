@@ -1,12 +1,12 @@
-"""The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, repeated passages and
-benchmark text are taken out, and what is left is packed into sequences."""
+"""The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, repeated passages are taken out, documents that
+hold benchmark text go, and what is left is packed into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from burstline.llm import decontaminate, packing, shingles, substring, tokens, toxicity
-from burstline.llm.common import written
+from burstline.llm.common import kept, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group, linked by similarity 0.8 or more of five-word shingles."""
+    """The document of smallest doc_id of each group, linked by similarity 0.8 or more of five-word shingles: SimHash fingerprints
+    near each other by pivot distance tables, and what these leave apart by MinHash, both verified on the shingles."""
     return shingles.keep_one(docs)
 
 
@@ -48,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again."""
+    """All stages over documents; each is written as Parquet and read again. What a stage has written for itself is deleted after it,
+    and what the stages before the last have kept at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = kept(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return kept(stage(spark, docs, sf_dir), name)
