@@ -5,8 +5,8 @@ class. Every class has a SimHash fingerprint of its shingles, and classes whose
 are candidates. A Jaccard similarity of 0.8 lies at about ten bits of 64, where no such search is both whole and cheap, so classes that the
 fingerprints leave apart are searched by MinHash: 160 least hashes, dealt as 40 keys of four; classes that share a key and at least 88 of the 160 are
 candidates too. Of two texts whose similarity is 0.8, the keys miss 0.59 ** 40 < 1e-9 and the count less than 1e-11; above 0.8 less still.
-Candidates are gathered by their components, in which every pair not yet joined is verified; a component with more than `most`
-classes is gathered by its keys instead. A key or component gives a forest of its links, never all pairs.
+Candidates are gathered by their components, in which every pair not yet joined is verified. A key or component gives a forest of its
+links, never all pairs; one of more than `most` classes is worked on in blocks, which together still compare or join every pair.
 
 Defined cases: a text of fewer than n words is one shingle; null, empty and blank texts are one class; null and repeated ids as in simhash.
 Shingles are compared as 64-bit hashes.
@@ -87,12 +87,10 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, t long, fp long, size long, sim long, keys array<long>, sketch binary")
 
 
-def _forest(count: int, near) -> list[tuple[int, int]]:
-    """Links that join what near(i, others) says is joined, others being those not in the class of i so far."""
-    label, out = np.arange(count), []
-    for i in range(count):
-        if len(out) == count - 1:
-            break
+def _forest(label: np.ndarray, near, first: int | None = None) -> list[tuple[int, int]]:
+    """Links that join members of different labels of which near(i, others) says so, i being one of the first `first` (of all); a link makes two labels one."""
+    out, count = [], len(label)
+    for i in range(count if first is None else first):
         others = np.arange(i + 1, count)
         others = others[label[others] != label[i]]
         for j in near(i, others):
@@ -102,48 +100,84 @@ def _forest(count: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs(found: list[tuple[int, int]]):
-    import pyarrow as pa
+def _agree(sketches: np.ndarray):
+    return lambda i, others: others[(sketches[others] == sketches[i]).sum(axis=1) >= LEAST_EQUAL]
+
+
+def _by_sketch(items: list[bytes]):
+    return _agree(np.frombuffer(b"".join(items), np.uint8).reshape(len(items), -1))
+
 
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+def _by_text(n: int, similarity: float):
+    def similar(items: list[str]):
+        raw = [x.encode() for x in items]
+        sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), n)
+        agree = _agree((_least(sets) >> np.uint64(24)).astype(np.uint8))
+        sizes = np.asarray([len(s) for s in sets])
 
+        def near(i, others):
+            a, b = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            for j in agree(i, others[a >= similarity * b - 1e-9]).tolist():
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                    yield j
 
-def _candidates(batches: Iterator) -> Iterator:
-    """From fps and sketches of each key."""
-    for batch in batches:
-        found = []
-        for group in (x.as_py() for x in batch.column(0)):
-            fps = [x["fp"] for x in group]
-            own = np.frombuffer(b"".join(x["sketch"] for x in group), np.uint8).reshape(len(fps), -1)
-            found += [(fps[i], fps[j]) for i, j in _forest(len(fps), lambda i, others, own=own: others[(own[others] == own[i]).sum(axis=1) >= LEAST_EQUAL])]
-        yield _pairs(found)
+        return near
 
+    return similar
 
-def _verify(n: int, similarity: float):
-    """From the classes (fp, text) of each group."""
+
+def _found(similar):
+    """Links of each row: members x (fp, root, item), of which the first `first` are compared with all, or all if it is null."""
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            for group in (x.as_py() for x in batch.column(0)):
-                raw = [x["text"].encode() for x in group]
-                sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), n)
-                least = _least(sets)
-                own = (least >> np.uint64(24)).astype(np.uint8)
-                sizes = np.asarray([len(s) for s in sets])
-
-                def near(i, others, sets=sets, own=own, sizes=sizes):
-                    a, b = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-                    others = others[(a >= similarity * b - 1e-9) & ((own[others] == own[i]).sum(axis=1) >= LEAST_EQUAL)]
-                    for j in others.tolist():
-                        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
-                            yield j
-
-                yield _pairs([(group[i]["fp"], group[j]["fp"]) for i, j in _forest(len(sets), near)])
+            found = []
+            for x, first in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                x = x.as_py()
+                fps, roots = [y["fp"] for y in x], np.asarray([y["root"] for y in x], np.int64)
+                found += [(fps[i], fps[j]) for i, j in _forest(np.unique(roots, return_inverse=True)[1], similar([y["item"] for y in x]), first)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     return run
 
 
+def _linked(groups: DataFrame, items: DataFrame, similar, most: int) -> DataFrame:
+    """Links (u, v) that join what is similar within a group; groups: g, fp, w; items: fp, item. A group may have any size.
+
+    A group of weight over `most` is cut into blocks three times, each time otherwise, and every block gives a forest. Members that these
+    leave out of the group's largest class are then compared with all members of other classes, a block of theirs with a block of the group at a
+    time. So every pair is compared or known to be joined, and no task holds more than two blocks.
+    """
+    sizes = groups.groupBy("g").agg(F.sum("w").alias("n"), F.count("*").alias("c")).where("c > 1")
+    sizes = written(sizes.select("g", F.ceil(F.col("n") / F.lit(most)).cast("long").alias("blocks")), "sizes")
+    whole = groups.join(sizes, "g")
+    times = F.when(F.col("blocks") > 1, F.array(*(F.lit(i) for i in range(3)))).otherwise(F.array(F.lit(0)))
+    block = F.pmod(F.xxhash64("fp", "g", "s"), F.col("blocks")).alias("b")
+    member = F.collect_list(F.struct("fp", "root", "item")).alias("x")
+    dealt = whole.select("g", "fp", "blocks", F.explode(times).alias("s")).select("g", "fp", "s", block).join(items, "fp").withColumn("root", F.col("fp"))
+    alone = dealt.groupBy("g", "s", "b").agg(member).where(F.size("x") > 1).select("x", F.lit(None).cast("int").alias("first"))
+    one = alone.mapInArrow(_found(similar), "u long, v long")
+    if sizes.where("blocks > 1").isEmpty():
+        return one
+    one = written(one, "links")
+    labels = components(one).withColumnRenamed("v", "fp")
+    large = whole.where("blocks > 1").join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    large = written(large.select("g", "fp", "w", "blocks", "root"), "large")
+    classes = large.groupBy("g", "root").agg(F.sum("w").alias("n"))
+    rest = written(classes.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n")).where("n > 0"), "rest")
+    if rest.isEmpty():
+        return one
+    left_out = large.join(rest, "g").where("root <> main").withColumn("q", F.pmod(F.xxhash64("fp", "g"), F.ceil(F.col("n") / F.lit(most)).cast("long")))
+    asked = left_out.join(items, "fp").groupBy("g", "q", "blocks").agg(member).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = large.join(rest.select("g"), "g", "left_semi").join(items, "fp").withColumn("s", F.lit(0)).select("g", block, "fp", "root", "item").groupBy("g", "b").agg(member)
+    pairs = asked.select("g", "b", F.col("x").alias("asked")).join(every, ["g", "b"])
+    two = pairs.select(F.concat("asked", "x").alias("x"), F.size("asked").alias("first")).mapInArrow(_found(similar), "u long, v long")
+    return one.unionByName(two)
+
+
 def links(docs: DataFrame, classes: DataFrame, n: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
     """Links (u, v) between the sets of classes (fp, t, size, sim, keys, sketch) that join those reachable in steps of the similarity."""
     # By fingerprints: classes of one are a star around the least of them, and stars within two bits are linked.
@@ -153,20 +187,16 @@ def links(docs: DataFrame, classes: DataFrame, n: int = 5, similarity: float = 0
     for end in ("u", "v"):
         near = near.join(stars.select(F.col("sim").alias(end), F.col("one").alias(f"to_{end}")), end)
     by_sim = same.unionByName(near.select(F.col("to_u").alias("u"), F.col("to_v").alias("v")))
-    keys = classes.select(F.explode("keys").alias("key"), "fp")
-    several = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key")
-    shared = written(keys.join(several, "key"), "shared")
-    with_sketch = shared.join(classes.select("fp", "sketch"), "fp")
-    grouped = with_sketch.groupBy("key").agg(F.collect_list(F.struct("fp", "sketch")).alias("x")).select("x")
-    roots = components(grouped.mapInArrow(_candidates, "u long, v long").unionByName(by_sim)).withColumnRenamed("v", "fp")
-    roots = written(roots.join(classes.select("fp", "t"), "fp"), "candidates")
-    large = roots.groupBy("root").count().where(F.col("count") > most).select("root")
-    few = roots.join(large, "root", "left_anti").select(F.col("root").alias("g"), "fp", "t")
-    many = roots.join(large, "root", "left_semi").join(shared, "fp").select(F.col("key").alias("g"), "fp", "t")
+    keys = classes.select(F.explode("keys").alias("g"), "fp", F.lit(1).alias("w"))
+    by_key = _linked(keys, classes.select("fp", F.col("sketch").alias("item")), _by_sketch, most)
+    roots = components(by_key.unionByName(by_sim)).withColumnRenamed("v", "fp")
+    # A member weighs more the longer its text is, so that blocks are bounded in bytes too.
+    weight = (F.lit(1) + F.floor(F.col("size") / 8192)).cast("long").alias("w")
+    roots = written(roots.join(classes.select("fp", "t", weight), "fp"), "candidates")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(roots.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
-    gathered = few.unionByName(many).join(texts, "t").groupBy("g").agg(F.collect_list(F.struct("fp", "text")).alias("x")).where(F.size("x") > 1).select("x")
-    return gathered.mapInArrow(_verify(n, similarity), "u long, v long").distinct()
+    texts = docs.select(F.xxhash64(text).alias("t"), text.alias("item")).join(roots.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.min("item").alias("item"))
+    texts = written(roots.select("fp", "t").join(texts, "t").select("fp", "item"), "texts")
+    return _linked(roots.select(F.col("root").alias("g"), "fp", "w"), texts, _by_text(n, similarity), most).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
@@ -176,7 +206,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, most:
     rows = written(sketches(docs, n), "sketches")
     # Texts of one set have one sketch, so any of them stands for the class.
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("t").alias("t")), "classes")
-    one = rows.where("size > 0").select("fp", "t", "sim", "keys", "sketch").join(classes.select("fp", "t"), ["fp", "t"], "left_semi").dropDuplicates(["fp"])
+    one = rows.where("size > 0").select("fp", "t", "size", "sim", "keys", "sketch").join(classes.select("fp", "t"), ["fp", "t"], "left_semi").dropDuplicates(["fp"])
     roots = components(links(docs, written(one, "sets"), n, similarity, most)).withColumnRenamed("v", "fp")
     rooted = classes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

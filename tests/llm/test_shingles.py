@@ -46,7 +46,7 @@ def near_copies(draw, first):
     return [(first + i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("most", [512, 2])
+@pytest.mark.parametrize("most", [512, 8, 2])
 def test_against_all_pairs(spark, most):
     draw = rng(21)
     texts = odd_texts(draw) + near_copies(draw, 100) + [(300 + i, " ".join(words(draw, 50))) for i in range(20)]
@@ -56,6 +56,25 @@ def test_against_all_pairs(spark, most):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(((i, c) for (i, _), c in zip(texts, want, strict=True)), key=repr)
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Copies of one text with a word or two changed, in a few blocks, some by way of another copy only, among texts that share half of it."""
+    draw, texts = rng(24), []
+    base = words(draw, 200)
+    for i in range(150):
+        own = list(base)
+        own[int(draw.integers(200))] = f"new{i}"
+        texts.append((i, " ".join(own)))
+    for i in range(40):
+        texts.append((500 + i, " ".join([*base[:100], *words(draw, 100)])))
+    far = list(base)
+    for k, at in enumerate((10, 60, 110, 160, 190)):  # each step is similar to the one before, the last ones not to the start
+        far[at : at + 2] = [f"far{k}", f"off{k}"]
+        texts.append((800 + k, " ".join(far)))
+    want = slow_components(texts)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(table(spark, texts), most=16).collect()}
+    assert got == {i: c for (i, _), c in zip(texts, want, strict=True)} and len(set(want)) > 30
+
+
 def test_the_stage_drops_copies_of_changed_words(spark):
     """Each copy has three of 200 words changed: similarity 0.85 of five-word shingles, mostly more than two bits of simhash."""
     draw, texts = rng(22), []
