@@ -140,9 +140,17 @@ def band_pass(samples: DataFrame, taps: np.ndarray | None = None, sampling_frequ
     return samples.join(filtered, [*CHANNEL, "sample_idx"], "left").withColumn("x", F.col("__y")).drop("__y")
 
 
-def envelope(samples: DataFrame, value: str = "x", order: str = "sample_idx") -> DataFrame:
-    """Magnitude of the analytic signal of each channel."""
-    return by_channel(samples, kernels.envelope, value, order)
+def envelope(samples: DataFrame, value: str = "x", order: str = "sample_idx", halo: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Magnitude of the analytic signal of each channel: of the whole channel at once, in one task.
+
+    With a halo (`order` then counts from 0 without gaps) channels are cut into blocks with so many neighbours on both sides, and each is
+    transformed alone. What lies beyond the halo weighs with one over its distance: for noise in the band of bursts at 1500 Hz a halo of 4,096 samples
+    errs by less than 1e-4 of the greatest envelope. At the two ends of a channel, where the whole transform sees the other end beside them, the two
+    differ by about a tenth, and by less than 1e-3 from 500 samples on.
+    """
+    if halo is None:
+        return by_channel(samples, kernels.envelope, value, order)
+    return by_blocks(samples, lambda x, begins, ends: kernels.envelope(x), halo, value, order, block=block)
 
 
 def _smoothed(df: DataFrame, sigma: float, sampling_frequency: float, value: str, order: str, keys, truncate: float = 8.0, block: int = BLOCK) -> DataFrame:

@@ -223,6 +223,16 @@ def test_blocks_of_a_long_channel(spark):
     assert np.abs(out["x"].to_numpy() - kernels.convolve(x, kernels.gaussian_kernel(0.004, FS))).max() < 1e-9
 
 
+def test_envelope_in_blocks_errs_as_stated(spark):
+    n = 60_000
+    x = kernels.zero_phase(np.random.default_rng(12).standard_normal(n), kernels.packaged_kernel())
+    samples = tables.samples_from_arrays(spark, np.arange(n) / FS, x)
+    out = signals.envelope(samples, halo=4096, block=10_000).select("sample_idx", "x").toPandas().sort_values("sample_idx")
+    whole = kernels.envelope(x)
+    apart = np.abs(out["x"].to_numpy() - whole) / whole.max()
+    assert apart[4096:-4096].max() < 1e-4 and apart[500:-500].max() < 1e-3
+
+
 @pytest.mark.parametrize("n", [1000, 1023, 1024, 1025, 1340, 1341, 2049])
 def test_blocks_of_any_length(spark, n):
     """Channels that end within, at and just beyond a block and its neighbours."""
