@@ -201,7 +201,7 @@ def with_next(docs: DataFrame, carried: dict | None = None) -> DataFrame:
     names = ["text", *carried]
     rows = docs.select(order_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = 4 * partitions(docs.sparkSession)
-    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], F.lit(10_000))).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], F.lit(max(10_000, 4 * n)))).first()[0] or []
     bounds = sorted(set(cuts))
     # The smallest key of each range, and with it the text that follows the range before.
     least = rows.select(range_bucket(F.col("k"), bounds).alias("range"), "k").groupBy("range").agg(F.min("k").alias("k"))

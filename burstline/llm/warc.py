@@ -57,7 +57,7 @@ def resolve(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     rows = records.where("kind in ('response', 'revisit')").select("record_id", canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("time"), F.lit(-(2**63))).alias("time"), F.col("time").alias("told"), (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers")
     n = 4 * partitions(spark)
-    cuts = rows.agg(F.percentile_approx("time", [i / n for i in range(1, n)], F.lit(10_000))).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("time", [i / n for i in range(1, n)], F.lit(max(10_000, 4 * n)))).first()[0] or []
     own = F.struct("record_id", "etag", "last_modified", "digest", "headers")
     dealt = rows.withColumns({"range": range_bucket(F.col("time"), sorted(set(cuts))), "response": F.when(F.col("full"), own)})
     # A null URL is nobody's: such rows are spread by their id.

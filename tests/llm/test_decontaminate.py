@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pytest
 from helpers import odd_texts, rng, table, words
 
 from burstline.llm import decontaminate
@@ -73,3 +75,23 @@ def test_short_items_in_long_documents(spark):
     texts = [(i, " ".join([*words(draw, int(draw.integers(0, 300)), 10**6), items[i % 6][1], *words(draw, 300, 10**6)])) for i in range(600)]
     got = decontaminate.contaminated(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i % 6) for i in range(600)]
+
+
+@pytest.mark.parametrize("n", range(5, 13))
+def test_no_planted_item_is_missed(n):
+    """300 items of each length, whole, and with as many of their words as reach the threshold, against brute force."""
+    draw = rng(n)
+    items = [(k, " ".join(f"i{x}" for x in draw.integers(0, 10**9, n))) for k in range(300)]
+    searcher = decontaminate.Searcher([(k, q.encode()) for k, q in items], 5, 0.8)
+    texts = []
+    for k, q in items:
+        own, fill = q.split(), words(draw, 400, 10**6)
+        part = own[: 4 + int(np.ceil(0.8 * (n - 4) - 1e-9))]  # so many shingles that the threshold is just reached
+        at = int(draw.integers(0, 400))
+        texts.append((2 * k, " ".join([*fill[:at], *own, *fill[at:]])))
+        texts.append((2 * k + 1, " ".join([*fill[:at], *part, *fill[at:]])))
+    raw = [t.lower().encode() for _, t in texts]
+    found = searcher.find(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert sorted((d, k) for d, k, _ in found) == [(d, d // 2) for d in range(600)]
+    few = [(d, texts[d][1]) for d in range(0, 600, 60)]
+    assert sorted((d, k, shared) for d, k, shared in found if d % 60 == 0) == sorted((d, k, shared) for d, k, shared, _ in slow(few, items))

@@ -1,7 +1,15 @@
+import zlib
+
 import corpus_pipeline
+import numpy as np
 import pytest
+import test_decontaminate
+import test_shingles
+import test_substring
 from helpers import odd_texts, rng, table, words
 
+from burstline.llm import tokens, toxicity
+
 
 @pytest.fixture()
 def folder(spark, tmp_path):
@@ -33,5 +41,32 @@ def test_stages_take_effect(spark, folder):
     assert {r.doc_id for r in packed} == set(seen["decontamination"])
 
 
+def test_all_rows_against_slow_stages(spark, folder):
+    """run() against the stages done by loops: whatever the toxicity model keeps, near copies by all pairs, passages by every window, items by every pair."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    model = toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    raw = [(t or "").encode() for _, t in rows]
+    scores = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    rows = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
+    rows = [r for r, c in zip(rows, test_shingles.slow_components(rows), strict=True) if r[0] == c]
+    rows = [(i, kept if gone else t) for (i, t), (_, _, gone, _, kept) in zip(rows, test_substring.slow(rows), strict=True)]
+    bad = {d for d, *_ in test_decontaminate.slow(rows, items)}
+    want = []
+    tokenizer = tokens.encoder(tokens.default_path()).tokenizer
+    for i, t in rows:
+        if i not in bad:
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+            want += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(np.asarray(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    packed = corpus_pipeline.run(spark, path).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed), key=repr) == sorted(want, key=repr)
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0) and r.offset + r.length <= 4096
+        ends[r.sequence_id] = r.offset + r.length
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "decontamination", "packing"]

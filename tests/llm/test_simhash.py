@@ -83,3 +83,10 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({0, 50, 60, None} | {c for c in slow_components([i for i, _ in texts], [slow_fingerprint(t) for _, t in texts])}, key=repr)
     assert simhash.keep_one(table(spark, [])).count() == 0
+
+
+def test_most_texts_are_empty(spark):
+    """One fingerprint for most rows; words one and two bits from it are linked to it like any other."""
+    texts = [(i, (None, "", "  ")[i % 3]) for i in range(5, 600)] + [(1, "a text of some words"), (2, "a text of some words")]
+    out = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert all(out[i] == (0, 5) for i in range(5, 600)) and out[1] == out[2] and out[1][1] == 1
