@@ -27,11 +27,11 @@ def clean(samples: DataFrame, value: str = "x") -> DataFrame:
     return samples.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))
 
 
-def _block(order: str, size: int = BLOCK):
-    return F.floor(F.col(order) / F.lit(size)).cast("long")
+def _block(order: str, size: int | None = None):
+    return F.floor(F.col(order) / F.lit(size or BLOCK)).cast("long")
 
 
-def numbered(df: DataFrame, keys=("session_id",), order: str = "sample_idx", out: str = "dense_idx", block: int = BLOCK) -> DataFrame:
+def numbered(df: DataFrame, keys=("session_id",), order: str = "sample_idx", out: str = "dense_idx", block: int | None = None) -> DataFrame:
     """df with the place (from 0) of each value of `order` among those of its keys: counted within blocks, to which the sums of the blocks before are added."""
     cut = df.withColumn("__block", _block(order, block))
     ranked = cut.withColumn("__rank", F.dense_rank().over(Window.partitionBy(*keys, "__block").orderBy(order)))
@@ -84,12 +84,12 @@ def by_channel(df: DataFrame, function: Callable[[np.ndarray], np.ndarray], valu
     return picked.groupBy(*keys).applyInArrow(run, schema)
 
 
-def by_blocks(df: DataFrame, function: Callable[[np.ndarray, bool, bool], np.ndarray], radius: int, value: str = "x", order: str = "dense_idx", keys=CHANNEL, block: int = BLOCK) -> DataFrame:
+def by_blocks(df: DataFrame, function: Callable[[np.ndarray, bool, bool], np.ndarray], radius: int, value: str = "x", order: str = "dense_idx", keys=CHANNEL, block: int | None = None) -> DataFrame:
     """df with a function of each sample and `radius` neighbours on both sides; `order` counts the samples of a channel from 0 without gaps.
 
     The function gets a block with the neighbours of its ends, and whether the channel begins and ends there, and returns as many values.
     """
-    block = max(block, 4 * radius + 1)
+    block = max(block or BLOCK, 4 * radius + 1)
     here = _block(order, block)
     spread = F.sequence(F.greatest(F.lit(0), F.floor((F.col(order) - radius) / block).cast("long")), F.floor((F.col(order) + radius) / block).cast("long"))
     names = df.columns
@@ -123,7 +123,7 @@ def check_sampling(sampling_frequency: float | None) -> None:
     warnings.warn(f"the packaged kernel is for {kernels.KERNEL_FREQUENCY:.0f} Hz, the signal has {sampling_frequency:g} Hz", UserWarning, stacklevel=3)
 
 
-def band_pass(samples: DataFrame, taps: np.ndarray | None = None, sampling_frequency: float | None = None, checked: bool = True, block: int = BLOCK) -> DataFrame:
+def band_pass(samples: DataFrame, taps: np.ndarray | None = None, sampling_frequency: float | None = None, checked: bool = True, block: int | None = None) -> DataFrame:
     """Zero-phase band-pass of every channel: forward and backward at once, by the kernel's autocorrelation.
 
     Instants at which any channel of the session is missing are left out for all and come back as null. A session of at most three kernel
@@ -135,12 +135,12 @@ def band_pass(samples: DataFrame, taps: np.ndarray | None = None, sampling_frequ
     good = drop_incomplete(samples).select(*CHANNEL, "sample_idx", "dense_idx", "x")
     if checked:
         validate.check_lengths(good, len(taps))
-    filtered = by_blocks(good, lambda x, begins, ends: kernels.zero_phase(x, taps, begins, ends), len(taps) - 1, block=max(block, 3 * len(taps) + 1))
+    filtered = by_blocks(good, lambda x, begins, ends: kernels.zero_phase(x, taps, begins, ends), len(taps) - 1, block=max(block or BLOCK, 3 * len(taps) + 1))
     filtered = filtered.select(*CHANNEL, "sample_idx", F.col("x").alias("__y"))
     return samples.join(filtered, [*CHANNEL, "sample_idx"], "left").withColumn("x", F.col("__y")).drop("__y")
 
 
-def envelope(samples: DataFrame, value: str = "x", order: str = "sample_idx", halo: int | None = None, block: int = BLOCK) -> DataFrame:
+def envelope(samples: DataFrame, value: str = "x", order: str = "sample_idx", halo: int | None = None, block: int | None = None) -> DataFrame:
     """Magnitude of the analytic signal of each channel: of the whole channel at once, in one task.
 
     With a halo (`order` then counts from 0 without gaps) channels are cut into blocks with so many neighbours on both sides, and each is
@@ -153,12 +153,12 @@ def envelope(samples: DataFrame, value: str = "x", order: str = "sample_idx", ha
     return by_blocks(samples, lambda x, begins, ends: kernels.envelope(x), halo, value, order, block=block)
 
 
-def _smoothed(df: DataFrame, sigma: float, sampling_frequency: float, value: str, order: str, keys, truncate: float = 8.0, block: int = BLOCK) -> DataFrame:
+def _smoothed(df: DataFrame, sigma: float, sampling_frequency: float, value: str, order: str, keys, truncate: float = 8.0, block: int | None = None) -> DataFrame:
     weights = kernels.gaussian_kernel(sigma, sampling_frequency, truncate)
     return by_blocks(df, lambda x, begins, ends: kernels.convolve(x, weights), len(weights) // 2, value, order, keys, block)
 
 
-def gaussian_smooth(samples: DataFrame, sigma: float, sampling_frequency: float, value: str = "x", order: str = "sample_idx", keys=CHANNEL, truncate: float = 8.0, block: int = BLOCK) -> DataFrame:
+def gaussian_smooth(samples: DataFrame, sigma: float, sampling_frequency: float, value: str = "x", order: str = "sample_idx", keys=CHANNEL, truncate: float = 8.0, block: int | None = None) -> DataFrame:
     """Each channel smoothed by a normal curve; outside the signal there are zeros. Missing values are left out and stay null."""
     rows = clean(samples, value)
     good = numbered(rows.where(F.col(value).isNotNull()), keys, order, "__place", block)
@@ -190,22 +190,29 @@ def _instants(samples: DataFrame, x, extra=()) -> DataFrame:
     return samples.groupBy("session_id", "dense_idx").agg(F.first("sample_idx").alias("sample_idx"), F.first("t").alias("t"), *(F.first(c).alias(c) for c in extra), x.alias("x"))
 
 
-def consensus_trace(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004, enveloped: bool = True, extra=()) -> DataFrame:
-    """Root of the smoothed sum over channels of squared envelopes (or, without envelopes, of squared signals)."""
-    source = envelope(complete, order="dense_idx") if enveloped else complete
+def consensus_trace(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004, enveloped: bool = True, extra=(), halo: int | None = None) -> DataFrame:
+    """Root of the smoothed sum over channels of squared envelopes (or, without envelopes, of squared signals); halo as in envelope()."""
+    source = envelope(complete, order="dense_idx", halo=halo) if enveloped else complete
     summed = _instants(source, F.sum(F.col("x") * F.col("x")), extra)
     smooth = _smoothed(summed, sigma, sampling_frequency, "x", "dense_idx", ("session_id",))
     return smooth.withColumn("x", F.sqrt(F.greatest("x", F.lit(0.0))))
 
 
-def mean_envelope_trace(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004, extra=()) -> DataFrame:
-    """Mean over channels of the roots of smoothed squared envelopes; one pass of NumPy a channel."""
+def _of_envelopes(complete: DataFrame, function: Callable[[np.ndarray], np.ndarray], radius: int, halo: int | None) -> DataFrame:
+    """A function of each channel's envelope, which looks `radius` samples around; one pass of NumPy a channel, or a block of it."""
+    if halo is None:
+        return by_channel(complete, lambda x: function(kernels.envelope(x)), order="dense_idx")
+    return by_blocks(complete, lambda x, begins, ends: function(kernels.envelope(x)), halo + radius)
+
+
+def mean_envelope_trace(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004, extra=(), halo: int | None = None) -> DataFrame:
+    """Mean over channels of the roots of smoothed squared envelopes."""
     weights = kernels.gaussian_kernel(sigma, sampling_frequency)
-    rooted = by_channel(complete, lambda x: np.sqrt(np.maximum(kernels.convolve(kernels.envelope(x) ** 2, weights), 0)), order="dense_idx")
+    rooted = _of_envelopes(complete, lambda e: np.sqrt(np.maximum(kernels.convolve(e**2, weights), 0)), len(weights) // 2, halo)
     return _instants(rooted, F.avg("x"), extra)
 
 
-def channel_envelopes(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004) -> DataFrame:
-    """Smoothed envelope of each channel; one pass of NumPy a channel."""
+def channel_envelopes(complete: DataFrame, sampling_frequency: float, sigma: float = 0.004, halo: int | None = None) -> DataFrame:
+    """Smoothed envelope of each channel."""
     weights = kernels.gaussian_kernel(sigma, sampling_frequency)
-    return by_channel(complete, lambda x: kernels.convolve(kernels.envelope(x), weights), order="dense_idx")
+    return _of_envelopes(complete, lambda e: kernels.convolve(e, weights), len(weights) // 2, halo)

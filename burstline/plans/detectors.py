@@ -45,14 +45,15 @@ def _single(trace: DataFrame, minimum_duration, zscore_threshold, method, mask,
 def consensus_detector(
     samples: DataFrame, position: DataFrame, sampling_frequency: float, speed_threshold: float = 4.0, minimum_duration: float = 0.015,
     zscore_threshold: float = 2.0, smoothing_sigma: float = 0.004, close_event_threshold: float = 0.0, normalization_method: str = "zscore",
-    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True, enveloped: bool = True,
+    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True, enveloped: bool = True, envelope_halo: int | None = None,
 ) -> DataFrame:
     """Events of the consensus of all channels (band-passed samples). normalization_mask names a BOOLEAN column of position; checked=False leaves
-    the checks of values out (a job each: ValueError for other instants, units of time or an empty baseline, warnings); enveloped=False leaves the envelope out."""
+    the checks of values out (a job each: ValueError for other instants, units of time or an empty baseline, warnings); enveloped=False leaves the envelope out;
+    envelope_halo cuts channels into blocks for it (see signals.envelope), for recordings too long for a task a channel."""
     norm.check_arguments(normalization_method, normalization_mask, normalization_time_range)
     complete = _prepared(samples, position, sampling_frequency, speed_threshold, normalization_mask, normalization_time_range, checked)
     extra = ("speed", *filter(None, [normalization_mask]))
-    trace = signals.consensus_trace(complete, sampling_frequency, smoothing_sigma, enveloped, extra=extra)
+    trace = signals.consensus_trace(complete, sampling_frequency, smoothing_sigma, enveloped, extra=extra, halo=envelope_halo)
     marked = _single(_by_dense(trace), minimum_duration, zscore_threshold, normalization_method, normalization_mask, normalization_time_range)
     return marked_events(marked, speed_threshold, close_event_threshold, minimum_duration)
 
@@ -60,13 +61,13 @@ def consensus_detector(
 def mean_envelope_detector(
     samples: DataFrame, position: DataFrame, sampling_frequency: float, speed_threshold: float = 4.0, minimum_duration: float = 0.015,
     zscore_threshold: float = 2.0, smoothing_sigma: float = 0.004, close_event_threshold: float = 0.0, normalization_method: str = "zscore",
-    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True,
+    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True, envelope_halo: int | None = None,
 ) -> DataFrame:
     """Events of the mean over channels of smoothed envelopes; arguments as in consensus_detector()."""
     norm.check_arguments(normalization_method, normalization_mask, normalization_time_range)
     complete = _prepared(samples, position, sampling_frequency, speed_threshold, normalization_mask, normalization_time_range, checked)
     extra = ("speed", *filter(None, [normalization_mask]))
-    trace = signals.mean_envelope_trace(complete, sampling_frequency, smoothing_sigma, extra=extra)
+    trace = signals.mean_envelope_trace(complete, sampling_frequency, smoothing_sigma, extra=extra, halo=envelope_halo)
     marked = _single(_by_dense(trace), minimum_duration, zscore_threshold, normalization_method, normalization_mask, normalization_time_range)
     return marked_events(marked, speed_threshold, close_event_threshold, minimum_duration)
 
@@ -74,13 +75,13 @@ def mean_envelope_detector(
 def channel_detector(
     samples: DataFrame, position: DataFrame, sampling_frequency: float, speed_threshold: float = 4.0, minimum_duration: float = 0.015,
     zscore_threshold: float = 3.0, smoothing_sigma: float = 0.004, close_event_threshold: float = 0.0, normalization_method: str = "zscore",
-    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True,
+    normalization_mask: str | None = None, normalization_time_range: TimeRange = None, checked: bool = True, envelope_halo: int | None = None,
 ) -> DataFrame:
     """Events of single channels, merged where they overlap. Scores are means over channels, so a mean score may lie under the threshold;
     max_thresh is taken at 0.015 s whatever the minimum duration. Arguments as in consensus_detector()."""
     norm.check_arguments(normalization_method, normalization_mask, normalization_time_range)
     complete = _prepared(samples, position, sampling_frequency, speed_threshold, normalization_mask, normalization_time_range, checked)
-    smooth = _by_dense(signals.channel_envelopes(complete, sampling_frequency, smoothing_sigma))
+    smooth = _by_dense(signals.channel_envelopes(complete, sampling_frequency, smoothing_sigma, halo=envelope_halo))
     scored = norm.normalize(smooth, "x", normalization_method, normalization_mask, normalization_time_range, keys=signals.CHANNEL, per_channel=True, dealt=True)
     marked = seg.mark_events(scored, "z", minimum_duration, zscore_threshold, keys=signals.CHANNEL)
     mean = marked.groupBy("session_id", "sample_idx").agg(F.first("t").alias("t"), F.first("speed").alias("speed"), F.avg("z").alias("z"), F.max("ends").alias("ends"))

@@ -233,6 +233,17 @@ def test_envelope_in_blocks_errs_as_stated(spark):
     assert apart[4096:-4096].max() < 1e-4 and apart[500:-500].max() < 1e-3
 
 
+@pytest.mark.parametrize("name", ["consensus", "mean_envelope", "channel"])
+def test_detectors_with_envelopes_in_blocks(spark, signal, name, monkeypatch):
+    """The same events within a sample or two; scores differ a little, as the ends of the blocks do."""
+    monkeypatch.setattr(signals, "BLOCK", 64)
+    whole = rows(DETECTORS[name](*signal, FS, zscore_threshold=3.0, checked=False))
+    cut = rows(DETECTORS[name](*signal, FS, zscore_threshold=3.0, checked=False, envelope_halo=400))
+    assert len(cut) == len(whole) == 2
+    for a, b in zip(cut, whole, strict=True):
+        assert a[1] == b[1] and abs(a[2] - b[2]) < 2.1 / FS and abs(a[3] - b[3]) < 2.1 / FS and abs(a[6] - b[6]) < 0.05
+
+
 @pytest.mark.parametrize("n", [1000, 1023, 1024, 1025, 1340, 1341, 2049])
 def test_blocks_of_any_length(spark, n):
     """Channels that end within, at and just beyond a block and its neighbours."""
