@@ -6,6 +6,7 @@ Signals come from `events`: a session is one of four groups of users, a channel
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from collections.abc import Callable
 
@@ -195,6 +196,54 @@ def wide_arrays(spark, sf_dir):
     return _rounded(tables.wide_to_samples(rows, "embedding").select("session_id", "channel_id", "x"), 6)
 
 
+@_register("SELECT '0' AS session_id, CAST(c AS INTEGER) AS channel_id, i AS sample_idx, round(i / 1500.0, 9) AS t, CASE WHEN i % 7 <> c THEN i * 0.5 - c END AS x FROM range(300) r(i), range(3) q(c)")
+def npy_source(spark, sf_dir):
+    """A matrix of 300 instants and three channels with missing values, saved and loaded on the driver."""
+    i, c = np.arange(300)[:, None], np.arange(3)[None, :]
+    with tempfile.TemporaryDirectory() as folder:
+        np.save(f"{folder}/x.npy", np.where(i % 7 != c, i * 0.5 - c, np.nan))
+        return _rounded(tables.load_npy(spark, f"{folder}/x.npy", FS), 9)
+
+
+def _outcome(check) -> str:
+    """What a check does: error, warning or nothing."""
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        try:
+            check()
+        except ValueError:
+            return "error"
+    return "warning" if any(w.category is UserWarning for w in told) else "passes"
+
+
+_OUTCOMES = {
+    "dimensions": "passes", "dimensions_no_channel": "error", "dimensions_not_numeric": "error", "position_no_speed": "error", "lengths_equal": "passes", "lengths_differ": "error",
+    "time_seconds": "passes", "time_milliseconds": "error", "time_other_frequency": "warning", "speed_centimetres": "passes", "speed_metres": "warning", "kernel_1500": "passes",
+    "kernel_1300": "warning", "kernel_1000": "error", "kernel_not_told": "passes", "session_long": "passes", "session_short": "error", "arguments": "passes", "arguments_both": "error",
+    "arguments_no_time": "error", "arguments_unknown": "error", "baseline": "passes", "baseline_empty": "error",
+}
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{o}')" for n, o in _OUTCOMES.items()) + ") v(name, outcome)")
+def input_checks(spark, sf_dir):
+    """What each check of inputs says to tables that are right and to others that are not."""
+    own, where = samples(spark, sf_dir), position(spark, sf_dir)
+    view = own.where("channel_id = 'view'")
+    slow = where.withColumn("speed", F.col("speed") / 1000)
+    checks = {
+        "dimensions": lambda: validate.check_samples(own), "dimensions_no_channel": lambda: validate.check_samples(own.drop("channel_id")),
+        "dimensions_not_numeric": lambda: validate.check_samples(own.withColumn("x", F.array("x"))), "position_no_speed": lambda: validate.check_position(where.drop("speed")),
+        "lengths_equal": lambda: validate.check_aligned(view, where), "lengths_differ": lambda: validate.check_aligned(view.where("sample_idx > 0"), where),
+        "time_seconds": lambda: validate.check_time_units(own, FS), "time_milliseconds": lambda: validate.check_time_units(own.withColumn("t", F.col("t") * 1000), FS),
+        "time_other_frequency": lambda: validate.check_time_units(own, 1000.0), "speed_centimetres": lambda: validate.check_speed_units(where, SPEED), "speed_metres": lambda: validate.check_speed_units(slow, SPEED),
+        "kernel_1500": lambda: signals.check_sampling(1500.0), "kernel_1300": lambda: signals.check_sampling(1300.0), "kernel_1000": lambda: signals.check_sampling(1000.0), "kernel_not_told": lambda: signals.check_sampling(None),
+        "session_long": lambda: validate.check_lengths(view, 5), "session_short": lambda: validate.check_lengths(view, 10**6), "arguments": lambda: norm.check_arguments("median_mad", "mask"),
+        "arguments_both": lambda: norm.check_arguments("zscore", "mask", (0, 1)), "arguments_no_time": lambda: norm.check_arguments("zscore", None, (0, 1), has_time=False), "arguments_unknown": lambda: norm.check_arguments("other"),
+        "baseline": lambda: validate.check_baseline(where, norm.baseline(None, (0.0, 0.01))), "baseline_empty": lambda: validate.check_baseline(where, norm.baseline(None, (-2.0, -1.0))),
+    }
+    return spark.createDataFrame([(n, _outcome(c)) for n, c in checks.items()], "name string, outcome string")
+
+
 @_register(_with("steps AS (SELECT session_id, t - lag(t) OVER (PARTITION BY session_id ORDER BY sample_idx) AS d FROM (SELECT DISTINCT session_id, sample_idx, t FROM samples))", "SELECT session_id, round(quantile_cont(d, 0.5), 9) AS median_step FROM steps GROUP BY session_id"))
 def time_step_median(spark, sf_dir):
     return validate.time_steps(samples(spark, sf_dir)).select("session_id", F.round("median_step", 9).alias("median_step"))
@@ -582,7 +631,7 @@ def simulated_detection(spark, sf_dir):
     """Simulated bursts in two sines through the whole chain: band-pass by the packaged kernel, envelope, consensus, events."""
     grid = tables.time_grid(spark, 4500, FS)
     hum = F.lit(0.4) * F.sin(F.lit(2 * np.pi * 60) * F.col("t")) + F.lit(0.05) * F.sin(F.lit(2 * np.pi * 190) * F.col("t"))
-    made = simulate.waveform(grid, [1.1, 2.1], 3.0).withColumn("x", F.col("x") + hum).withColumn("channel_id", F.lit(0))
+    made = simulate.simulate(grid, [1.1, 2.1], 3.0, noise_amplitude=0.0, seed=1).withColumn("x", F.col("x") + hum).withColumn("channel_id", F.lit(0))
     return _rounded(flows.detect(made, grid.withColumn("speed", F.lit(1.0)), FS), 4)
 
 
