@@ -152,11 +152,13 @@ def _linked(groups: DataFrame, items: DataFrame, similar, most: int) -> DataFram
     time. So every pair is compared or known to be joined, and no task holds more than two blocks.
     """
     sizes = groups.groupBy("g").agg(F.sum("w").alias("n"), F.count("*").alias("c")).where("c > 1")
-    sizes = written(sizes.select("g", F.ceil(F.col("n") / F.lit(most)).cast("long").alias("blocks")), "sizes")
+    # Powers of two, and blocks by the member alone: groups of about the same members have the same blocks, and their links are the same.
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(most)))).cast("int")
+    sizes = written(sizes.select("g", F.expr("1L").alias("one"), power.alias("power")).select("g", F.call_function("shiftleft", "one", "power").alias("blocks")), "sizes")
     whole = groups.join(sizes, "g")
     times = F.when(F.col("blocks") > 1, F.array(*(F.lit(i) for i in range(3)))).otherwise(F.array(F.lit(0)))
-    block = F.pmod(F.xxhash64("fp", "g", "s"), F.col("blocks")).alias("b")
-    member = F.collect_list(F.struct("fp", "root", "item")).alias("x")
+    block = F.pmod(F.xxhash64("fp", "s"), F.col("blocks")).alias("b")
+    member = F.sort_array(F.collect_list(F.struct("fp", "root", "item"))).alias("x")
     dealt = whole.select("g", "fp", "blocks", F.explode(times).alias("s")).select("g", "fp", "s", block).join(items, "fp").withColumn("root", F.col("fp"))
     alone = dealt.groupBy("g", "s", "b").agg(member).where(F.size("x") > 1).select("x", F.lit(None).cast("int").alias("first"))
     one = alone.mapInArrow(_found(similar), "u long, v long")
@@ -170,7 +172,7 @@ def _linked(groups: DataFrame, items: DataFrame, similar, most: int) -> DataFram
     rest = written(classes.groupBy("g").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n")).where("n > 0"), "rest")
     if rest.isEmpty():
         return one
-    left_out = large.join(rest, "g").where("root <> main").withColumn("q", F.pmod(F.xxhash64("fp", "g"), F.ceil(F.col("n") / F.lit(most)).cast("long")))
+    left_out = large.join(rest, "g").where("root <> main").withColumn("q", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(most)).cast("long")))
     asked = left_out.join(items, "fp").groupBy("g", "q", "blocks").agg(member).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     every = large.join(rest.select("g"), "g", "left_semi").join(items, "fp").withColumn("s", F.lit(0)).select("g", block, "fp", "root", "item").groupBy("g", "b").agg(member)
     pairs = asked.select("g", "b", F.col("x").alias("asked")).join(every, ["g", "b"])
