@@ -218,7 +218,7 @@ def windows(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         step = min(length, n - length)
         out = mix(out[: len(out) - step] * _MULT + out[step:])
         length += step
-    return mix(out[:m] + np.uint64(seed + 1) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(out[:m] + np.uint64((seed + 1) * 0xD6E8FEB86659FD93 % 2**64))
 
 
 def chunks(offsets: np.ndarray, limit: int = 1 << 20):
