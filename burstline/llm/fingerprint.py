@@ -5,15 +5,15 @@ lane modulo a power of two. So order doesn't matter, and a paragraph is put in o
 subtracting its vector. The vector of a paragraph has
   4 lanes modulo 2**56   hashes of the whole paragraph, each of its own seed: equality
   1 lane modulo 2**40    the number of its words
-  5 lanes modulo 2**40   one for paragraphs of over 128, 256, 512, 1024 and 2048 words each: 1 where it is so long
+  6 lanes modulo 2**40   one for paragraphs of over 64, 128, 256, 512, 1024 and 2048 words each: 1 where it is so long
   28 x 36 lanes modulo 2**20   likeness: each pair of neighbouring words (and the last word alone) in one lane of one level, in level 0 half of
-                         the pairs, in 1 a quarter, and so on; a paragraph of over 128 words leaves level 0 out, of over 256 levels 0 and 1, ...
+                         the pairs, in 1 a quarter, and so on; a paragraph of over 64 words leaves level 0 out, of over 128 levels 0 and 1, ...
 The levels show how many pairs two documents don't share: in a level that is not full, the lanes that differ count them, and
 the likeness is 1 - (pairs in one but not the other) / (pairs of both), estimated from the levels that neither document leaves out. A word put in or
 taken out changes two pairs and no others. The last level takes 1 of 2**27 pairs, so it
 is not full for any two texts that a string can hold (2**31 bytes, at least two a pair).
 
-A paragraph is a line; words are what lies between spaces. A fingerprint is an ARRAY<BIGINT>: the ten lanes, then three lanes of
+A paragraph is a line; words are what lies between spaces. A fingerprint is an ARRAY<BIGINT>: the eleven lanes, then three lanes of
 20 bits a number. Defined cases: a null or empty text is the zero vector; a repeated row or doc_id is followed by its next repetition, in the
 order of its text; a null doc_id comes last; a single document follows itself; other columns are ignored.
 """
@@ -29,7 +29,7 @@ LEVELS, WORDS, FIELD = 28, 12, 21
 #: Levels made and compared for every text; those above have 1 of 2**NEAR pairs, and mostly nothing.
 NEAR = 7
 #: Words of a paragraph up to which no level is left out; at each doubling one more is.
-SHORT, LEFT_OUT = 128, 5
+SHORT, LEFT_OUT = 64, 6
 #: Where the levels begin (from 0).
 _BASE = 5 + LEFT_OUT
 LANES = 3 * WORDS
