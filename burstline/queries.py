@@ -249,7 +249,7 @@ def time_step_median(spark, sf_dir):
     return validate.time_steps(samples(spark, sf_dir)).select("session_id", F.round("median_step", 9).alias("median_step"))
 
 
-@_register(_with("SELECT session_id, round(quantile_cont(speed, 0.5), 6) AS median_speed FROM position WHERE speed > 0 GROUP BY session_id"))
+@_register(_with("SELECT session_id, round(quantile_cont(speed, 0.5), 9) AS median_speed FROM position WHERE speed > 0 GROUP BY session_id"))
 def speed_median(spark, sf_dir):
     return _rounded(validate.speed_medians(position(spark, sf_dir)), 6)
 
@@ -559,7 +559,7 @@ def channel_events_median_mad(spark, sf_dir):
     return _rounded(detectors.channel_detector(samples(spark, sf_dir), position(spark, sf_dir), FS, normalization_method="median_mad", **_LIMITS | {"zscore_threshold": 2.0}))
 
 
-@_register(_with(_RATE, *_TAIL, _stats("kept", "scored", 0.015), "SELECT count(*) AS n_events, round(avg(duration), 6) AS mean_duration, round(stddev_samp(duration), 6) AS std_duration, round(avg(mean_zscore), 6) AS mean_zscore, round(max(max_zscore), 6) AS max_zscore, round(min(max_thresh), 6) AS min_max_thresh, round(avg(mean_speed), 6) AS mean_speed FROM event_stats"))
+@_register(_with(_RATE, *_TAIL, _stats("kept", "scored", 0.015), "SELECT count(*) AS n_events, round(avg(duration), 6) AS mean_duration, round(stddev_samp(duration), 6) AS std_duration, round(avg(mean_zscore), 6) AS mean_zscore, round(max(max_zscore), 6) AS max_zscore, round(min(max_thresh), 6) AS min_max_thresh, round(avg(mean_speed), 9) AS mean_speed FROM event_stats"))
 def event_summary(spark, sf_dir):
     return _rounded(flows.summarise(_synchrony(spark, sf_dir)), 6)
 
